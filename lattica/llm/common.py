@@ -51,13 +51,13 @@ def tokens_of(col: str | Column) -> Column:
 
 
 def build_bloom(df: DataFrame, col: str, rows: int, max_bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter (two probes) of a long column as an array of 64-bit words.
+    """A Bloom filter (two probes) of a column of 64-bit hashes as an array of 64-bit words.
 
     The bits are set by a grouped aggregation, so what reaches the driver is the bitmap alone,
     ``max_bits`` / 64 rows at most whatever the size of ``df``.
     """
     bits = min(max_bits, 1 << max(13, int(np.ceil(np.log2(max(1, rows) * 16)))))
-    x = F.xxhash64(col)
+    x = F.col(col)
     probes = df.select(F.explode(F.array(x.bitwiseAND(bits - 1), F.shiftrightunsigned(x, 32).bitwiseAND(bits - 1))).alias("b"))
     words = probes.groupBy(F.shiftright("b", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w"))
     out = np.zeros(bits // 64, np.int64)
@@ -67,7 +67,7 @@ def build_bloom(df: DataFrame, col: str, rows: int, max_bits: int = BLOOM_BITS)
 
 
 def bloom_has(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Membership of 64-bit ``hashes`` (Spark's ``xxhash64`` of the value) in the filter; no false negatives."""
+    """Membership of 64-bit ``hashes`` in the filter; no false negatives."""
     h = hashes.astype(np.int64).view(np.uint64)
     mask = np.uint64(len(bloom) * 64 - 1)
     out = np.ones(len(h), bool)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from lattica.llm import op6_packing as op6
+from lattica.llm import op7_parity_join as op7
 from lattica.llm import op9_line_dedup as op9
 
 
 def queries() -> dict:
-    return {"op6_best_fit_packing": op6.op6_best_fit_packing, "op9_line_dedup": op9.op9_line_dedup}
+    return {"op6_best_fit_packing": op6.op6_best_fit_packing, "op7_parity_sketch_join": op7.op7_parity_sketch_join, "op9_line_dedup": op9.op9_line_dedup}
 
 
 def oracle_sql() -> dict:
