@@ -74,3 +74,16 @@ def bloom_has(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     for p in (h & mask, (h >> np.uint64(32)) & mask):
         out &= (bloom[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return out
+
+
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``_d`` (doc_id, a null as the least long) and ``_t`` (hash of the text): names of a row that joins can use."""
+    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": F.xxhash64(text)})
+
+
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column computed once a row: a generator that Catalyst doesn't merge into later lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
