@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.components import connected_components
 from lattica.llm import textarrays as ta
-from lattica.llm.common import bloom_has, build_bloom, checked_broadcast, shared_dir, written
+from lattica.llm.common import NO_ID, bloom_has, build_bloom, checked_broadcast, shared_dir, written
 
 _U = np.uint64
 #: Nodes of a block when a shared segment's components are compared.
@@ -96,7 +96,7 @@ def _describe(size: int):
                 n.append(len(h))
                 node.append(_node(h) if len(h) else None)
                 bits.append(_bits(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "t", "n", "node", "bits"])
 
     return run
 
@@ -208,7 +208,7 @@ def links(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    described = written(docs.select("doc_id", "text").mapInArrow(_describe(size), f"doc_id {id_type}, n long, node long, bits binary"), "sets")
+    described = written(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(_describe(size), f"doc_id {id_type}, t long, n long, node long, bits binary"), "sets")
     nodes = described.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     emitted = texts.mapInArrow(_emit(size), "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
     shared = written(emitted.mapInArrow(_shared, "key long, node long, centre long"), "shared-segments")
@@ -244,14 +244,21 @@ def links(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the component is the least doc_id that links lead to, itself included."""
+    """(doc_id, t, n_shingles, component_id) of every row: t is the text's hash, the component the least doc_id that links
+    lead to, the row's own included."""
     described, comp = links(docs, size)
     comp = comp.select(F.col("id").alias("node"), "component")
-    rows = written(described.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("c")), "documents-by-component")
+    rows = written(described.select("doc_id", "t", "n", "node").join(comp, "node", "left").select("doc_id", "t", "n", F.coalesce("component", "node").alias("c")), "documents-by-component")
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1")
     out = rows.join(checked_broadcast(least), "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def later_copies(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(_d, _t) of the rows that are linked with a row of a lesser doc_id; a null doc_id comes last."""
+    found = near_duplicates(docs, size).filter("not (doc_id <=> component_id)")
+    return found.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.col("t").alias("_t"))
 
 
 def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("t")

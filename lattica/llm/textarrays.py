@@ -61,12 +61,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and for each row the place of its first word (one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and for each row the place of its first word (one more at the end).
+
+    ``between`` says which bytes separate words.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
