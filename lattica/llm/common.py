@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.session import shared_dir
+
 #: Rows up to which a table of short fixed-width rows may be broadcast (about 16 to 64 bytes each).
 BROADCAST_ROWS = 200_000
 #: Bits of a Bloom filter at most: 4 MB. Beyond its capacity it only lets more rows through.
 BLOOM_BITS = 1 << 25
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
