@@ -93,8 +93,8 @@ class Graph:
     def replicate(self, copies: int) -> Graph:
         """Disjoint copies; copy k's ids are moved by k times the number of vertices."""
         n = self.vertices.count()
-        move = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long") * n
-        moved = lambda df, *ids: df.withColumn("_by", move).select(*((F.col(c) + F.col("_by")).alias(c) if c in ids else F.col(c) for c in df.columns))
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
+        moved = lambda df, *ids: df.withColumn("_copy", copy).select(*((F.col(c) + F.col("_copy") * n).alias(c) if c in ids else F.col(c) for c in df.columns))
         return Graph(moved(self.vertices, "id"), moved(self.edges, "src", "dst"))
 
     @staticmethod
