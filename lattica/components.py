@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
     for _ in range(max_rounds):
         both = cur.union(cur.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # large: every larger neighbour of u is linked with the least vertex around u
         down = large.filter("u > v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
