@@ -10,10 +10,12 @@ so the candidates are complete for every set. K is chosen so that this hardly ha
 emits the segments of the band below, where partners of smaller bands look for it.
 
 Candidates of a shared segment are not paired with each other. Equal sets are one node from the start; a segment's nodes
-are linked with its least node, each node with the most frequent such partner first; those pairs are verified and give first components. Then only
-segments with more than one component are looked at again, pairing nodes of different components in bounded blocks after a
-filter by a one-bit parity sketch (Hamming distance of 2n to 4n bits against the allowed difference). Every linked pair is either
-verified or lies in one component, so no link between different texts is lost.
+are paired with its least node, and the pairs that sizes and a one-bit parity sketch (Hamming distance of 2n to 4n bits against the
+allowed difference) permit are kept. Each node's most frequent partner is verified first, which gives components; in a few
+rounds segments that hold several components get another centre each. What large groups of copies leave open after that is
+small: the other kept pairs across components are verified, and in segments still open the nodes of different components are
+compared by their sketches, in blocks of bounded size. Every linked pair is either verified or lies in one component, so no link
+between different texts is lost.
 
 Defined cases: null, empty or blank texts have no shingles and are linked with nothing; a text of fewer than five words is
 one shingle; equal rows are linked if they have words; rows that share a doc_id are linked by their texts each and get one row
@@ -27,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.components import connected_components
 from lattica.llm import textarrays as ta
@@ -37,6 +41,8 @@ from lattica.llm.common import NO_ID, bloom_has, build_bloom, checked_broadcast,
 _U = np.uint64
 #: Nodes of a block when a shared segment's components are compared.
 BLOCK = 2048
+#: Rounds of stars around drawn centres before components are compared pair by pair.
+ROUNDS = 3
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,75 +94,103 @@ def segment_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _describe(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node, bits = [], [], []
-            for _, h in _sets(batch.column("text"), size):
-                n.append(len(h))
-                node.append(_node(h) if len(h) else None)
-                bits.append(_bits(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "t", "n", "node", "bits"])
-
-    return run
-
+def _emit(size: int, id_type: pa.DataType):
+    """A row with info for every document, and a row (key, node) for each segment of its set."""
+    info_type = pa.struct([("doc_id", id_type), ("t", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
-def _emit(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[int, None] = {}  # equal sets of a task emit once; forgetting some only costs rows
         for batch in batches:
-            keys, nodes = [], []
+            keys, nodes, n, node_of, bits = [], [], [], [], []
             for _, h in _sets(batch.column("text"), size):
-                if len(h) and (node := _node(h)) not in recent:
-                    recent[node] = None
+                node = _node(h) if len(h) else None
+                n.append(len(h))
+                node_of.append(node)
+                bits.append(_bits(h) if len(h) else None)
+                if len(h) and node not in recent:
                     if len(recent) > 200_000:
                         recent.clear()
-                    keys.append(segment_keys(h))
+                    recent[node] = None
+                    keys.append(segment_keys(h).view(np.int64))
                     nodes.append(np.full(len(keys[-1]), node, np.int64))
+            info = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], fields=list(info_type))
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(node_of, pa.int64()), info], ["key", "node", "info"])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                k = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(nodes)), pa.nulls(len(k), info_type)], ["key", "node", "info"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node) -> (key, node, centre) of all but the least node of each key that two nodes have."""
-    last_key, centre, last_node = None, None, None
-    for batch in batches:
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        same = np.zeros(len(key), bool)
-        same[1:] = ~new[1:] & (node[1:] == node[:-1])
-        same[0] = not new[0] and node[0] == last_node
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        centres = np.where(lead >= 0, node[np.maximum(lead, 0)], centre if centre is not None else 0)
-        take = ~new & ~same & (node != centres)
-        last_key, last_node, centre = key[-1], node[-1], centres[-1]
-        if take.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(node[take]), pa.array(centres[take])], ["key", "node", "centre"])
+def _shared(id_type: pa.DataType):
+    """Rows sorted by (segment or not, key, node): document rows as they are, and of each key that several nodes have all but the
+    least node as (key, node, centre)."""
+    info_type = pa.struct([("doc_id", id_type), ("t", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+    def out(key: np.ndarray, node: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(centre), pa.nulls(len(key), info_type)], ["key", "node", "centre", "info"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_node, centre = None, None, 0
+        for batch in batches:
+            whole = pc.is_valid(batch.column("info"))
+            if pc.any(whole).as_py():
+                rows = batch.filter(whole)
+                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("node"), pa.nulls(rows.num_rows, pa.int64()), rows.column("info")], ["key", "node", "centre", "info"])
+                batch = batch.filter(pc.invert(whole))
+            key, node = batch.column("key").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False)
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last_key is None or key[0] != last_key
+            same = np.zeros(len(key), bool)
+            same[1:] = ~new[1:] & (node[1:] == node[:-1])
+            same[0] = not new[0] and node[0] == last_node
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            centres = np.where(lead >= 0, node[np.maximum(lead, 0)], centre)
+            take = ~new & ~same & (node != centres)
+            last_key, last_node, centre = key[-1], node[-1], centres[-1]
+            if take.any():
+                yield out(key[take], node[take], centres[take])
+
+    return run
 
 
 def _blobs(size: int, bloom: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, None] = {}
         for batch in batches:
+            batch = batch.filter(pa.array(bloom_has(bloom, batch.column("t").to_numpy(zero_copy_only=False))))
             nodes, blobs = [], []
             for _, h in _sets(batch.column("text"), size):
-                if len(h) and (node := _node(h)) not in recent and bloom_has(bloom, np.array([node]))[0]:
-                    if len(recent) > 200_000:
-                        recent.clear()
-                    recent[node] = None
-                    nodes.append(node)
+                if len(h):
+                    nodes.append(_node(h))
                     blobs.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "blob"])
 
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that sizes and one-bit sketches allow."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        ok = (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+        x, y = batch.column("bits_a"), batch.column("bits_b")
+        for i in np.flatnonzero(ok):
+            ok[i] = 9 * _distance(np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8)) <= n_a[i] + n_b[i]
+        yield batch.filter(pa.array(ok)).select(["a", "b", "votes"])
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two one-bit sketches, the longer one folded to the other's length."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -181,12 +215,51 @@ def _folded(bits: list[bytes]) -> dict[int, np.ndarray]:
     return out
 
 
-def _cross(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of different components within a block or between two blocks of a segment that sizes and sketches allow."""
-    n, comp, node, own = (table.column(c).to_numpy() for c in ("n", "component", "node", "own"))
-    within = key[1].as_py() == key[2].as_py()
-    bits = table.column("bits").to_pylist()
-    folded, found = _folded(bits), []
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, block, other) -> pairs of different components within a block, or between two, that sizes and
+    sketches allow. Holds one block pair beyond a batch."""
+    carry: pa.RecordBatch | None = None
+    for batch in batches:
+        if carry is not None and carry.num_rows:
+            batch = pa.concat_batches([carry, batch])
+        if not batch.num_rows:
+            continue
+        k, x, y = (batch.column(c).to_numpy() for c in ("key", "block", "other"))
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        carry = batch.slice(start[-1])
+        if len(start) > 1:
+            yield from _pairs(batch.slice(0, start[-1]), start[:-1])
+    if carry is not None and carry.num_rows:
+        yield from _pairs(carry, np.zeros(1, np.int64))
+
+
+def _named(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+
+
+def _pairs(rows: pa.RecordBatch, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n, comp, node, own, block, other = (rows.column(c).to_numpy() for c in ("n", "component", "node", "own", "block", "other"))
+    bits = rows.column("bits")
+    size = np.diff(np.append(start, rows.num_rows))
+    for g in range(2, 17):  # small groups of one size at once
+        at = start[size == g]
+        if len(at):
+            x, y = np.triu_indices(g, 1)
+            a, b = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+            use = (comp[a] != comp[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & ((block[a] == other[a]) | (own[a] != own[b]))
+            a, b = a[use], b[use]
+            if len(a):
+                _, once = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1, return_index=True)
+                a, b = a[once], b[once]
+                ok = np.array([9 * _distance(np.frombuffer(bits[i].as_buffer(), np.uint8), np.frombuffer(bits[j].as_buffer(), np.uint8)) <= n[i] + n[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                yield _named(node, a[ok], b[ok])
+    for s, g in zip(start[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        at = slice(s, s + g)
+        yield from _large(n[at], comp[at], node[at], own[at], bool(block[s] == other[s]), [x.as_py() for x in bits.slice(s, g)])
+
+
+def _large(n: np.ndarray, comp: np.ndarray, node: np.ndarray, own: np.ndarray, within: bool, bits: list[bytes]) -> Iterator[pa.RecordBatch]:
+    folded = _folded(bits)
     order = np.argsort(n, kind="stable")
     sizes = n[order]
     for at, i in enumerate(order):
@@ -196,51 +269,81 @@ def _cross(key: tuple, table: pa.Table) -> pa.Table:
             rows = folded[len(bits[i])]
             differ = np.bitwise_count(rows[near] ^ rows[i]).sum(axis=1, dtype=np.int64)
             near = near[9 * differ <= n[near] + n[i]]
-            found += [(max(node[i], node[j]), min(node[i], node[j])) for j in near]
-    a = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": a[:, 0], "b": a[:, 1]})
+            if len(near):
+                yield _named(node, np.full(len(near), i), near)
 
 
 def links(docs: DataFrame, size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents with n, node and sketch; (node, component) of all nodes that are linked with others)."""
+    """(rows with doc_id, t, n and node; (id, component) of all nodes that are linked with others)."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select("text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    described = written(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(_describe(size), f"doc_id {id_type}, t long, n long, node long, bits binary"), "sets")
-    nodes = described.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    emitted = texts.mapInArrow(_emit(size), "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
-    shared = written(emitted.mapInArrow(_shared, "key long, node long, centre long"), "shared-segments")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    id_type = docs.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+    info = f"info struct<doc_id:{id_type.simpleString()},t:bigint,n:bigint,bits:binary>"
+    emitted = texts.mapInArrow(_emit(size, arrow_id), f"key long, node long, {info}").repartition(parts, "key").sortWithinPartitions(F.col("info").isNull(), "key", "node")
+    table = written(emitted.mapInArrow(_shared(arrow_id), f"key long, node long, centre long, {info}"), "shared-segments")
+    described = table.filter("info is not null").select("node", "info.*")
+    nodes = described.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("t").alias("t"))
+    shared = table.filter("info is null").select("key", "node", "centre")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
-        need = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes-to-verify")
-        bloom = build_bloom(need, "node", need.count())
-        blobs = texts.mapInArrow(_blobs(size, bloom), "node long, blob binary").join(need, "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
+        """The pairs (a, b) whose sets are similar enough. Only texts whose hash is needed are cut into shingles again."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        need = written(nodes.select("node", "t").join(need, "node"), "nodes-to-verify")
+        bloom = build_bloom(need, "t", need.count())
+        blobs = texts.select("t", "text").mapInArrow(_blobs(size, bloom), "node long, blob binary").join(need.select("node"), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
         blobs = written(blobs, "sets-to-verify", codec="none")
         joined = pairs.join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b").join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
         return joined.select("a", "b", "blob_a", "blob_b").mapInArrow(_verify, "a long, b long")
 
-    # each node with its most frequent partner
-    votes = shared.groupBy("node", "centre").agg(F.count("*").alias("votes")).groupBy("node").agg(F.max(F.struct("votes", "centre")).alias("best"))
-    stars = written(votes.select(F.col("node").alias("a"), F.col("best.centre").alias("b")), "star-pairs")
-    first = written(verified(stars), "star-links")
-    comp = written(connected_components(first, "a", "b", folder), "first-components")
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b, votes) that sizes and sketches allow."""
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketched, "a long, b long, votes long")
 
-    # segments that still hold several components
+    # each node with the centres it shares segments with; the most frequent one first
+    votes = shared.groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("votes"))
+    stars = written(sketched(votes), "star-pairs")
+    top = written(stars.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "top-pairs")
+    comp, tested = written(connected_components(written(verified(top), "links"), "a", "b", folder), "components"), top
     members = shared.select("key", "node").union(shared.select("key", F.col("centre").alias("node")).distinct())
-    named = members.join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("key", "rows")
-    left = written(named.join(mixed, "key"), "open-segments")
+
+    def joined_up(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after more links: only the components that the links name are looked at."""
+        of = lambda df, c, to: df.join(comp.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+        merged = written(connected_components(written(of(of(links, "a", "ca"), "b", "cb").select("ca", "cb").distinct(), "links"), "ca", "cb", folder), "merged")
+        known = comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        return written(known.union(merged.join(comp, "id", "left_anti").select("id", "component")), "components")
+
+    def open_segments(rows: DataFrame, turn: int) -> DataFrame:
+        """The segments of more than two nodes that hold several components, with a centre drawn anew."""
+        named = rows.select("key", "node").join(comp.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        drawn = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("drawn")
+        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), drawn).filter("rows > 2 and lo <> hi").drop("lo", "hi")
+        return written(named.join(mixed, "key"), "open-segments")
+
+    # a few more rounds of stars around other centres: groups of copies close, a pair a row at most
+    for turn in range(ROUNDS):
+        members = open_segments(members, turn)
+        across = members.filter("component <> drawn.component").select(F.greatest("node", "drawn.node").alias("a"), F.least("node", "drawn.node").alias("b"))
+        fresh = across.groupBy("a", "b").agg(F.count("*").alias("votes")).join(tested, ["a", "b"], "left_anti")
+        pairs = written(sketched(fresh).select("a", "b"), "round-pairs")
+        if pairs.isEmpty():
+            break
+        comp, tested = joined_up(comp, verified(pairs)), tested.union(pairs)
+    members = open_segments(members, ROUNDS)
+
+    # what is left: other stars across components, and all pairs of different components in the segments still open
+    named = lambda df, c, to: df.join(comp.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    rest = named(named(stars.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("long")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    spread = left.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"block": F.least("own", "o"), "other": F.greatest("own", "o")})
+    spread = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumns({"block": F.least("own", "o"), "other": F.greatest("own", "o")})
     dressed = spread.join(nodes, "node").select("key", "node", "component", "own", "block", "other", "n", "bits")
-    rest = dressed.groupBy("key", "block", "other").applyInArrow(_cross, "a long, b long").distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    second = written(verified(rest), "cross-links")
-    return described, connected_components(first.union(second), "a", "b", folder)
+    crossed = dressed.repartition(parts, "key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_cross, "a long, b long")
+    rest = written(rest.union(crossed).distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+    return described, joined_up(comp, verified(rest))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
