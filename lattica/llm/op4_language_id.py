@@ -41,13 +41,15 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32  # what isn't a letter is a space
 
 
-def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, buckets of the trigrams, first trigram of each row) of runs of rows; runs of spaces are left out."""
+def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, buckets of the trigrams, first trigram of each row, whether rows have letters) of runs of rows; runs
+    of spaces are left out."""
     data, offsets = ta.buffers(column)
     for a, b, raw, off in ta.chunks(data, offsets):
         x = _FOLD[raw].astype(np.uint32)
+        lettered = np.diff(np.concatenate([[0], np.cumsum(x != 32)])[off]) > 0
         if len(x) < 3:
-            yield a, b, np.zeros(0, np.int64), np.zeros(b - a + 1, np.int64)
+            yield a, b, np.zeros(0, np.int64), np.zeros(b - a + 1, np.int64), lettered
             continue
         h = (x[:-2] * np.uint32(65599) + x[1:-1]) * np.uint32(65599) + x[2:]
         h = ((h * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
@@ -55,14 +57,14 @@ def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         for edge in (off[1:-1] - 1, off[1:-1] - 2):  # those that reach into the next row
             use[edge[(edge >= 0) & (edge < len(use))]] = False
         at = np.concatenate([[0], np.cumsum(use)])
-        yield a, b, h[use], at[np.minimum(off, len(use))]
+        yield a, b, h[use], at[np.minimum(off, len(use))], lettered
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for a, b, h, at in _trigrams(batch.column("text")):
+        for a, b, h, at, _ in _trigrams(batch.column("text")):
             of = np.repeat(np.arange(b - a), np.diff(at))
             names = sorted(set(langs[a:b]))
             code = np.array([names.index(x) for x in langs[a:b]])
@@ -102,12 +104,12 @@ def _likelihoods(model: TextModel, temper: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[float] | None] = []
-            for a, b, h, at in _trigrams(batch.column("text")):
+            for _, _, h, at, lettered in _trigrams(batch.column("text")):
                 sums = np.zeros((len(h) + 1, len(model.languages)))
                 np.cumsum(model.table[h], axis=0, out=sums[1:], dtype=np.float64)
                 ll = temper * (sums[at[1:]] - sums[at[:-1]])
                 ll -= ll.max(axis=1, keepdims=True) if ll.size else 0
-                out += [x.tolist() if n and len(x) else None for x, n in zip(ll, np.diff(at), strict=True)]
+                out += [x.tolist() if n and len(x) else None for x, n in zip(ll, lettered, strict=True)]
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], [*names, "ll"])
 
