@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from lattica.llm.common import checked_broadcast, written
 
 #: Steps of the branch-and-bound search at most, and fillings looked at for each; the incumbent stands beyond them.
-NODES, WIDTH = 4000, 4
+NODES, WIDTH = 1500, 4
 Pattern = tuple[int, dict[int, int]]  # copies, {length: how many in each}
 
 
@@ -87,23 +88,24 @@ def fillings(room: int, counts: np.ndarray, sizes: np.ndarray, slack: int, width
     found: list[tuple[int, int, dict[int, int]]] = []
     steps = 0
     fit = sizes[sizes <= room]
+    listed = fit.tolist()
+
+    def there(low: int, high: int, what: dict[int, int]) -> bool:
+        return any(counts[y] > what.get(y, 0) for y in listed[bisect_left(listed, low) : bisect_right(listed, high)])
 
     def undominated(what: dict[int, int], waste: int) -> bool:
         flat = [s for s, q in what.items() for _ in range(min(q, 2))]
-        for i, a in enumerate(flat):
-            if waste and any(counts[y] > what.get(y, 0) for y in range(a + 1, a + waste + 1)):
-                return False
-            if any(counts[y] > what.get(y, 0) for b in flat[i + 1 :] for y in range(a + b, min(a + b + waste, room) + 1)):
-                return False
-        return True
+        if waste and any(there(a + 1, a + waste, what) for a in what):
+            return False
+        return not any(there(a + b, min(a + b + waste, room), what) for i, a in enumerate(flat) for b in flat[i + 1 :])
 
     def grow(left: int, what: dict[int, int], top: int) -> None:
         nonlocal steps
         steps += 1
         if len(found) >= 4 * width or steps > 60 * width:
             return
-        usable = fit[: np.searchsorted(fit, min(left, top), "right")]
-        usable = [int(s) for s in usable[::-1][: 3 * width] if counts[s] > what.get(int(s), 0)]
+        top = bisect_right(listed, min(left, top))
+        usable = [s for s in listed[max(0, top - 3 * width) : top][::-1] if counts[s] > what.get(s, 0)]
         if not usable:
             if left <= slack and undominated(what, left):
                 found.append((left, sum(what.values()), dict(what)))
