@@ -10,7 +10,7 @@ so the candidates are complete for every set. K is chosen so that this hardly ha
 emits the segments of the band below, where partners of smaller bands look for it.
 
 Candidates of a shared segment are not paired with each other. Equal sets are one node from the start; a segment's nodes
-are paired with its least node, and the pairs that sizes and a one-bit parity sketch (Hamming distance of 2n to 4n bits against the
+are paired with its least node, and the pairs that sizes and a one-bit parity sketch (Hamming distance of 4n to 8n bits against the
 allowed difference) permit are kept. Each node's most frequent partner is verified first, which gives components; in a few
 rounds segments that hold several components get another centre each. What large groups of copies leave open after that is
 small: the other kept pairs across components are verified, and in segments still open the nodes of different components are
@@ -63,8 +63,8 @@ def _node(h: np.ndarray) -> int:
 
 
 def _bits(h: np.ndarray) -> bytes:
-    """The one-bit parity sketch: a power of two of 2n to 4n bits, 64 at least."""
-    m = max(64, 1 << (2 * len(h) - 1).bit_length())
+    """The one-bit parity sketch: a power of two of 4n to 8n bits, 64 at least."""
+    m = max(64, 1 << (4 * len(h) - 1).bit_length())
     return np.packbits((np.bincount((h >> _U(7)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
