@@ -5,7 +5,8 @@ place in the 400-year cycle of 189 * 773 days, ...). The sequence is cut in two
 SHA-512(key, format, round, other half) to one half, position by position modulo its radix, and swaps. Each round is
 invertible, so the whole is a permutation of the format: equal values get equal pseudonyms in all documents, different ones
 stay different, lengths and separators stay, and what is validated - Luhn and IBAN check digits, calendar dates, octets, social
-security ranges - is valid again afterwards. Numbers of a checked format that fail the check are not touched.
+security ranges - is valid again afterwards. Numbers of a checked format that fail the check are not touched. Secrets are
+hexadecimal tokens of 16 characters or more in either case, and keys with the prefixes of common services.
 
 One scan finds the candidates (``regexp_extract_all``), one cuts the text around them, and array functions join the pieces; only
 DataFrame functions are used, nothing is shuffled, and texts without a digit, ``@`` or key prefix are not scanned.
@@ -23,11 +24,13 @@ ROUNDS = 8
 _AN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: kind: what a candidate looks like. The order is that of the alternation.
+#: A hexadecimal token comes before an IBAN, which may be all hexadecimal; ``pseudonym`` tries the IBAN's check first.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[a-f]*\d)(?=[0-9]*[a-f])[0-9a-f]{16,128}(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: (?!(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{16,}(?![A-Z0-9])))?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)",
     "date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -35,7 +38,7 @@ PATTERNS = {
     "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = "[0-9@]|AKIA|ASIA"
+MAYBE = "[0-9@]|AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|[spr]k_(?:live|test)_|sk-|AIza|npm_|pypi-|hf_|SG\\.|eyJ"
 
 
 def _ints(c: Column) -> Column:
@@ -155,7 +158,7 @@ def _iban(m: Column, key: str) -> Column:
     check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
     symbol = lambda c: c != " "
     valid = _mod97(F.concat(bban, country, F.substring(s, 3, 2))) == 1
-    return F.when(valid, _refill(m, _chars(F.concat(country, check, moved)), symbol)).otherwise(m)
+    return F.when(valid, _refill(m, _chars(F.concat(country, check, moved)), symbol))  # else null: it may be a secret
 
 
 def _email(m: Column, key: str) -> Column:
@@ -167,13 +170,31 @@ def _access_key(m: Column, key: str) -> Column:
     return F.concat(F.substring(m, 1, 4), _alphabet(F.substring(m, 5, 16), _AN, "access_key", key))
 
 
+def _secret(m: Column, key: str) -> Column:
+    """Hexadecimal digits permuted by their value, so that copies in another case stay linked; a token in capitals gets capitals,
+    in a mixed one the places of capitals keep them."""
+    p = _alphabet(F.lower(m), "0123456789abcdef", "secret", key)
+    mixed = F.array_join(F.zip_with(_chars(p), _chars(m), lambda a, b: F.when(b.rlike("[A-F]"), F.upper(a)).otherwise(a)), "")
+    return F.when(~m.rlike("[A-F]"), p).when(~m.rlike("[a-f]"), F.upper(p)).otherwise(mixed)
+
+
+def _token(m: Column, key: str) -> Column:
+    """The prefix stays; letters and digits after it are permuted within lower case, upper case and digits, other characters stay."""
+    prefix = F.regexp_extract(m, r"^(?:gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|(?:sk|pk|rk)_(?:live|test)_|sk-|AIza|npm_|pypi-|hf_|SG\.|eyJ)", 0)
+    cs = _chars(F.substring(m, F.length(prefix) + 1, F.length(m)))
+    base = lambda c: F.when(c.rlike("[0-9]"), F.lit(48)).when(c.rlike("[A-Z]"), F.lit(65)).when(c.rlike("[a-z]"), F.lit(97)).otherwise(F.ascii(c))
+    radices = F.transform(cs, lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).when(c.rlike("[A-Za-z]"), F.lit(26)).otherwise(F.lit(1)))
+    p = feistel(F.transform(cs, lambda c: F.ascii(c) - base(c)), radices, F.lit("token"), key)
+    return F.concat(prefix, F.array_join(F.zip_with(p, cs, lambda v, c: F.char(v + base(c))), ""))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate."""
-    make = {"email": _email, "access_key": _access_key, "iban": _iban, "secret": lambda x, k: _alphabet(x, "0123456789abcdef", "secret", k), "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "ipv4": _octets}
+    make = {"email": _email, "access_key": _access_key, "token": _token, "iban": _iban, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "ipv4": _octets}
     out = F.lit(None).cast("string")
-    for kind, pattern in reversed(PATTERNS.items()):
+    for kind, pattern in sorted(reversed(PATTERNS.items()), key=lambda x: x[0] == "iban"):
         whole = pattern.replace("(?<![A-Za-z0-9])", "").replace("(?![A-Za-z0-9])", "").replace(r"(?<![\d.-])", "").replace(r"(?<![\d-])", "").replace(r"(?<![\d.])", "")
-        out = F.when(m.rlike(f"^(?:{whole})$"), make[kind](m, key)).otherwise(out)
+        out = F.coalesce(F.when(m.rlike(f"^(?:{whole})$"), make[kind](m, key)), out)
     return F.coalesce(out, m)
 
 

@@ -87,6 +87,20 @@ def test_pseudonyms(spark):
     assert op1_pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_secrets_of_either_case_any_length_and_key_formats(spark):
+    low, long = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", "0123456789abcdef" * 20
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(low))
+    keys = ["ghp_" + "aB3" * 12, "sk_live_" + "9Zq4" * 6, "sk-" + "Ab1-" * 8, "AIza" + "Sy0_x" * 7, "xoxb-12345-abcdE", "glpat-" + "x" * 20, "hf_" + "Q" * 34, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMe"]
+    iban = "DE89370400440532013000"  # all hexadecimal
+    cases = [low, low.upper(), mixed, long, "AB12CDEF01234567ABCD", "XY12 AB12CDEF01234567ABCD", iban, *keys]
+    df = spark.createDataFrame([(i, f'k = "{c}" end') for i, c in enumerate(cases)], "doc_id long, text string")
+    got = [r.text[5:-5] for r in op1_pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(got, cases, strict=True))
+    assert got[1] == got[0].upper() and got[2].lower() == got[0] and got[2] not in (got[0], got[1])
+    assert got[5] == "XY12 " + got[4] and got[6][:2] == "DE" and int("".join(str(int(c, 36)) for c in got[6][4:] + got[6][:4])) % 97 == 1
+    assert all(a[:3] == b[:3] for a, b in zip(got[7:], keys, strict=True))
+
+
 # ---- 2, 3 -----------------------------------------------------------------------------------------------------------
 
 
