@@ -2,8 +2,9 @@
 
     log P(l | all) = log P(text | l) + log P(declared | l) + log P(suffix | l) + log P(l | host) + constant
 
-* Text: a naive Bayes model of hashed byte trigrams, trained on all labelled rows by grouped aggregation (at most BUCKETS rows
-  a language reach the driver). Trigrams of a text depend on each other, so its log likelihood is tempered.
+* Text: a naive Bayes model of hashed byte trigrams, trained on all labelled rows by grouped aggregation. Every label is a language,
+  however few rows it has; the model has a row of BUCKETS floats a label (128 KB), so its size follows the number of labels, which
+  for language codes is bounded, and not the corpus. Trigrams of a text depend on each other, so its log likelihood is tempered.
 * Declared language (a markup attribute, or a column) and address suffix: P(value | l) estimated from the corpus, each value's
   soft counts by text alone, smoothed toward the value's overall share; a missing value is no evidence.
 * Host: a prior smoothed over the hierarchy corpus - registered domain - host; each level's soft counts are shrunk toward the
@@ -31,11 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import checked_broadcast, written
+from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, written
 
 BUCKETS = 1 << 15
-#: Languages are those of at least this share of the labelled rows, so there are at most 100.
-LEAST_SHARE = 0.01
+#: Languages whose likelihoods are summed at once.
+AT_ONCE = 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32  # what isn't a letter is a space
@@ -87,41 +88,44 @@ class TextModel:
 def train(docs: DataFrame) -> TextModel:
     """The model of the labelled rows (text, lang) of ``docs``."""
     labelled = docs.filter("lang is not null and text is not null").select("text", F.lower("lang").alias("lang"))
-    shares = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    least = F.col("n") >= LEAST_SHARE * labelled.count()
-    languages = sorted(r["lang"] for r in shares.filter(least).collect())  # 100 rows at most
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # as many as there are labels
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS)))
-    counted = labelled.filter(F.col("lang").isin(languages)).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = labelled.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
-    counts[[languages.index(x) for x in counted["lang"]], counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    at = {x: i for i, x in enumerate(languages)}
+    counts[counted["lang"].map(at).to_numpy(int), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return TextModel(languages, counts)
 
 
 def _likelihoods(model: TextModel, temper: float):
-    """Replaces text by ll: tempered log likelihoods, null without letters."""
+    """Replaces text by ll and _p: tempered log likelihoods, null without letters, and the posterior by text alone, then 0."""
+    n_langs = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[float] | None] = []
+            soft: list[list[float]] = []
             for _, _, h, at, lettered in _trigrams(batch.column("text")):
-                sums = np.zeros((len(h) + 1, len(model.languages)))
-                np.cumsum(model.table[h], axis=0, out=sums[1:], dtype=np.float64)
-                ll = temper * (sums[at[1:]] - sums[at[:-1]])
+                ll = np.zeros((len(at) - 1, n_langs))
+                for k in range(0, n_langs, AT_ONCE):
+                    sums = np.zeros((len(h) + 1, min(AT_ONCE, n_langs - k)))
+                    np.cumsum(model.table[h, k : k + AT_ONCE], axis=0, out=sums[1:], dtype=np.float64)
+                    ll[:, k : k + AT_ONCE] = temper * (sums[at[1:]] - sums[at[:-1]])
                 ll -= ll.max(axis=1, keepdims=True) if ll.size else 0
-                out += [x.tolist() if n and len(x) else None for x, n in zip(ll, lettered, strict=True)]
+                p = np.exp(ll)
+                p /= p.sum(axis=1, keepdims=True)
+                p[~lettered] = 0.0
+                out += [x.tolist() if n else None for x, n in zip(ll, lettered, strict=True)]
+                soft += p.tolist()
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], [*names, "ll"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64())), pa.array(soft, pa.list_(pa.float64()))], [*names, "ll", "_p"])
 
     return run
 
 
-def _softmax(ll: Column, n: int) -> list[Column]:
-    e = [F.exp(F.element_at(ll, i + 1)) for i in range(n)]
-    total = e[0]
-    for x in e[1:]:
-        total = total + x
-    return [x / total for x in e]
+def _total(xs: str) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
 def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column, domain: Column, host: Column, temper: float = 0.1, kappa: float = 20.0, alpha: float = 2.0, least: float = 0.5) -> DataFrame:
@@ -131,39 +135,41 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
         return rows.drop("text").withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "text_language": F.lit("und")})
     kept = [c for c in rows.columns if c != "text"]
     evidence = rows.select(*(f"`{c}`" for c in kept), declared.cast("string").alias("_declared"), suffix.cast("string").alias("_suffix"), domain.cast("string").alias("_domain"), host.cast("string").alias("_host"), "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text"), "ll array<double>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text"), "ll array<double>", "_p array<double>"])
     scored = evidence.mapInArrow(_likelihoods(model, temper), schema)
-    soft = [F.when(F.col("ll").isNull(), 0.0).otherwise(p) for p in _softmax(F.col("ll"), n)]
-    scored = written(scored.select("*", *(p.alias(f"_p{i}") for i, p in enumerate(soft))), "text-evidence")
-    sums = lambda keys: scored.filter("ll is not null").groupBy(*keys).agg(*(F.sum(f"_p{i}").alias(f"_s{i}") for i in range(n)))
+    scored = written(scored, "text-evidence")
+    each = lambda f, c, to: F.array(*(f(F.element_at(c, i + 1)) for i in range(n))).alias(to)
+    sums = lambda keys: scored.filter("ll is not null").groupBy(*keys).agg(each(F.sum, "_p", "_s"))
+    rows_at_most = BROADCAST_ROWS * 4 // max(n, 4)  # a row has one or two doubles a language
     hosts = written(sums(["_domain", "_host"]), "host-sums")
-    total = hosts.agg(*(F.coalesce(F.sum(f"_s{i}"), F.lit(0.0)) for i in range(n))).first()
+    total = [t or 0.0 for t in hosts.agg(each(F.sum, "_s", "t")).first()["t"]]
     share = [(t + 1.0) / (sum(total) + n) for t in total]
-    each = lambda c: sum((F.col(f"{c}{i}") for i in range(1, n)), F.col(f"{c}0"))
+    numbers = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
 
     # a row's prior from its host: sums of the host and of its domain, without the row itself
-    domains = hosts.groupBy("_domain").agg(*(F.sum(f"_s{i}").alias(f"_d{i}") for i in range(n)))
+    domains = hosts.groupBy("_domain").agg(each(F.sum, "_s", "_d"))
     sites = hosts.join(domains.withColumnRenamed("_domain", "_dd"), F.expr("_domain <=> _dd")).drop("_dd")
     sites = sites.filter("_host is not null").drop("_domain")
-    sites = written(sites.groupBy("_host").agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(n)), *(F.max(f"_d{i}").alias(f"_d{i}") for i in range(n))), "sites")
-    out = scored.join(checked_broadcast(sites), "_host", "left")
-    own = each("_p")
-    logs = []
-    for i in range(n):
-        from_domain = (F.col(f"_d{i}") - F.col(f"_p{i}") + kappa * share[i]) / (each("_d") - own + kappa)
-        from_host = (F.col(f"_s{i}") - F.col(f"_p{i}") + kappa * from_domain) / (each("_s") - own + kappa)
-        logs.append(F.coalesce(F.log(F.greatest(from_host, F.lit(1e-6))), F.lit(float(np.log(share[i])))))
-    out = out.select(*(f"`{c}`" for c in kept), "_declared", "_suffix", "ll", *(x.alias(f"_l{i}") for i, x in enumerate(logs)), *(f"_p{i}" for i in range(n)))
+    sites = written(sites.groupBy("_host").agg(each(F.sum, "_s", "_s"), each(F.max, "_d", "_d")), "sites")
+    out = scored.join(checked_broadcast(sites, rows_at_most), "_host", "left")
+    out = out.withColumns({"_own": _total("_p"), "_of_s": _total("_s"), "_of_d": _total("_d")})
+
+    def prior(q: Column, i: Column) -> Column:
+        at = lambda c: F.element_at(c, i + 1)
+        from_domain = (at("_d") - at("_p") + kappa * q) / (F.col("_of_d") - F.col("_own") + kappa)
+        from_host = (at("_s") - at("_p") + kappa * from_domain) / (F.col("_of_s") - F.col("_own") + kappa)
+        return F.coalesce(F.log(F.greatest(from_host, F.lit(1e-6))), F.log(q))
+
+    out = out.select(*(f"`{c}`" for c in kept), "_declared", "_suffix", "ll", F.transform(numbers(share), prior).alias("_l"))
 
     # what a declared value and a suffix say
     for value in ("_declared", "_suffix"):
-        table = sums([value]).filter(F.col(value).isNotNull())
-        all_of = each("_s")
-        said = [F.log((F.col(f"_s{i}") + alpha * all_of / F.lit(float(sum(total) + 1))) / F.lit(float(total[i] + alpha))).alias(f"_e{i}") for i in range(n)]
-        table = written(table.select(value, *said), f"evidence{value}")
-        out = out.join(checked_broadcast(table), value, "left").withColumns({f"_l{i}": F.col(f"_l{i}") + F.coalesce(f"_e{i}", F.lit(0.0)) for i in range(n)}).drop(*(f"_e{i}" for i in range(n)))
+        table = sums([value]).filter(F.col(value).isNotNull()).withColumn("_of_s", _total("_s"))
+        said = F.zip_with("_s", numbers(total), lambda s, t: F.log((s + alpha * F.col("_of_s") / F.lit(float(sum(total) + 1))) / (t + alpha)))
+        table = written(table.select(value, said.alias("_e")), f"evidence{value}")
+        out = out.join(checked_broadcast(table, rows_at_most), value, "left").withColumn("_l", F.when(F.col("_e").isNull(), F.col("_l")).otherwise(F.zip_with("_l", "_e", lambda a, b: a + b))).drop("_e")
 
-    final = F.array(*(F.col(f"_l{i}") + F.element_at("ll", i + 1) for i in range(n)))
+    final = F.zip_with("_l", "ll", lambda a, b: a + b)
     out = out.withColumn("_final", final).withColumn("_best", F.array_max("_final"))
     confidence = 1 / F.aggregate("_final", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_best")))
     names = F.array(*(F.lit(x) for x in langs))

@@ -150,6 +150,19 @@ def test_language_id(spark):
     assert op4_language_id.identify(odd, empty, none, none, none, none).filter("language = 'und'").count() == 4
 
 
+def test_language_of_few_rows_is_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = "zażółć gęślą jaźń, chrząszcz brzmi w trzcinie w Szczebrzeszynie; wśród nocnej ciszy głos się rozchodzi "
+    many = spark.createDataFrame([(f"xx{i}", f"{chr(97 + i % 26)}q{chr(97 + i // 26)}j " * 30) for i in range(110)], "lang string, text string")  # over 100 labels
+    few = spark.createDataFrame([("pl", rare * 20)], "lang string, text string").union(many)
+    model = op4_language_id.train(docs.select("lang", "text").union(few))
+    assert docs.count() > 100 and {"pl", "xx0", "xx109"} < set(model.languages)
+    none = F.lit(None)
+    page = spark.createDataFrame([(1, rare * 3), (2, many.filter("lang = 'xx7'").first().text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op4_language_id.identify(page, model, none, none, none, none, temper=1.0).collect()}
+    assert (got[1].language, got[1].text_language, got[2].language) == ("pl", "pl", "xx7")
+
+
 def test_language_evidence_is_bayes(spark):
     """Two hosts and a text without a tendency: host prior and declared language decide as the formula says."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
