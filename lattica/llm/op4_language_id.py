@@ -182,7 +182,16 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
 
 _HIDDEN = re.compile(r"<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_HTML = re.compile(r"""<html\b(?:[^>"']+|"[^"]*"|'[^']*')*""", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+
+
+def declared_language(page: str) -> str | None:
+    """The language that the page's first html tag outside comments declares, wherever the tag is."""
+    tag = _HTML.search(_COMMENT.sub(" ", page))
+    m = _LANG.search(tag[0]) if tag else None
+    return m[1].lower() if m else None
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +204,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except ValueError:
                 host = None
             parts = host.split(".") if host else []
-            m = _LANG.search(page[:2000]) if page else None
-            rows.append((m[1].lower() if m else None, parts[-1] if parts else None, ".".join(parts[-2:]) or None, host, _html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""))
+            rows.append((declared_language(page) if page else None, parts[-1] if parts else None, ".".join(parts[-2:]) or None, host, _html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, pa.string()) for c in cols)], ["page_id", "declared", "suffix", "domain", "host", "text"])
 

@@ -163,6 +163,14 @@ def test_language_of_few_rows_is_kept(spark):
     assert (got[1].language, got[1].text_language, got[2].language) == ("pl", "pl", "xx7")
 
 
+def test_declared_language_is_found_anywhere(spark):
+    pad = "licence " * 1000
+    pages = [f"<!-- {pad} <html lang=de> --><!doctype html>\n<html lang='fr'>x", f'<html data-x="{pad}>" lang="en">x', f"{' ' * 9000}<HTML LANG=it>x", f"<html><p>{pad}<html lang=es>", "<html lang=pt", "", None]
+    df = spark.createDataFrame([(i, "http://a.b.fr/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = df.mapInArrow(op4_language_id._pages, "page_id long, declared string, suffix string, domain string, host string, text string").orderBy("page_id").collect()
+    assert [r.declared for r in got] == ["fr", "en", "it", None, "pt", None, None]
+
+
 def test_language_evidence_is_bayes(spark):
     """Two hosts and a text without a tendency: host prior and declared language decide as the formula says."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
