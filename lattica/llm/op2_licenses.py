@@ -7,6 +7,12 @@ its words, before any bigram is built, and only templates whose bounds hold coun
 up in the templates' index, which is broadcast (its size is that of the template list, counted before), and counted by
 unit and template with map-side combining; nothing else is shuffled. Only DataFrame functions are used.
 
+Passages are the units inside lines or over several lines: runs of words. The best run for a template begins and ends with one of the
+template's bigrams, so all runs between two of them are compared, of up to (2-t)/t |B| bigrams, and nothing is strided over. A match shares
+at least t/(2-t) |B| bigrams; so texts without any of a few words, chosen such that fewer bigrams of each template lack them, are passed
+over, and then texts and starts with too few of a template's bigrams. Of runs that overlap the best is reported, unless a line that it
+touches matches as well or better, or the line that holds it or the whole text is reported with the same licence.
+
 Defined cases: null, empty or one-word texts match nothing; of several templates above the threshold the highest coefficient wins
 and then the least name; rows that share a doc_id are reported each by their text, equal rows once; a null doc_id is reported as
 null; an empty table gives an empty result; other columns are not looked at.
@@ -14,6 +20,8 @@ null; an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +69,65 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return words.select("template", "license", _bigrams(F.col("w")).alias("bigrams")).withColumn("size", F.size("bigrams"))
 
 
+def _signature(bigrams: list[str], need: int) -> set[str]:
+    """Words such that fewer than ``need`` of the bigrams have none of them, the longest first."""
+    chosen: set[str] = set()
+    for word in sorted({w for b in bigrams for w in b.split(" ")}, key=lambda w: (-len(w), w)):
+        if sum(not chosen & set(b.split(" ")) for b in bigrams) < need:
+            break
+        chosen.add(word)
+    return chosen
+
+
+def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(_d, _t, license, dice, first, last, a, b) of the best run of words from each start, whatever it overlaps; first and last are
+    bigrams, a and b lines."""
+    low, high = (threshold / (2 - threshold), (2 - threshold) / threshold)
+    table = [r for r in template_table(docs.sparkSession, templates).collect() if r["size"]]
+    need = [max(1, math.ceil(low * r["size"] - 1e-6)) for r in table]
+    signature = sorted(set().union(*(_signature(r["bigrams"], k) for r, k in zip(table, need, strict=True))))
+    listed = F.array(*(F.struct(F.lit(r["license"]).alias("license"), F.lit(r["size"]).alias("size"), F.lit(k).alias("need"), F.lit(int(high * r["size"] + 1e-6)).alias("span"), F.array(*map(F.lit, r["bigrams"])).alias("bigrams")) for r, k in zip(table, need, strict=True)))
+    every = sorted({b for r in table for b in r["bigrams"]})
+    split = lambda c: F.filter(F.split(_lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    pair = lambda w, i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))
+    worded = pinned(keyed(docs.select("doc_id", "text")).filter("text is not null"), "w", split(F.col("text"))).filter((F.size("w") > 1) & F.exists("w", lambda x: x.isin(signature)))
+    at = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: pair(F.col("w"), i).isin(every))
+    hits = pinned(worded, "h", F.transform(at, lambda i: F.struct(i.alias("i"), pair(F.col("w"), i).alias("b")))).filter(F.size("h") >= min(need))
+    found = pinned(hits, "t", F.filter(listed, lambda t: F.size(F.array_intersect(F.transform("h", lambda x: x["b"]), t["bigrams"])) >= t["need"])).filter(F.size("t") > 0)
+    line = F.flatten(F.transform(F.split("text", "\n"), lambda x, k: F.array_repeat(k + 1, F.size(split(x)))))
+    each = pinned(found, "line", line).select("_d", "_t", "w", "line", "h", F.explode("t").alias("t"))
+    own = pinned(each, "own", F.filter("h", lambda x: F.array_contains("t.bigrams", x["b"]))).drop("h")
+    starts = own.select("*", F.posexplode("own").alias("k", "x"))
+    near = pinned(starts, "y", F.filter(F.slice("own", F.col("k") + 1, F.col("t.span")), lambda y: y["i"] < F.col("x.i") + F.col("t.span"))).drop("own")
+    near = near.filter(F.size(F.array_distinct(F.transform("y", lambda y: y["b"]))) >= F.col("t.need"))
+    run = pinned(near, "run", F.transform(F.sequence(F.col("x.i"), F.element_at("y", -1)["i"]), lambda i: pair(F.col("w"), i))).drop("w")
+
+    def dice(y: Column) -> Column:
+        common = F.size(F.array_distinct(F.transform(F.filter("y", lambda z: z["i"] <= y["i"]), lambda z: z["b"])))
+        n = F.size(F.array_distinct(F.slice("run", F.lit(1), y["i"] - F.col("x.i") + 1)))
+        return 2 * common / (n + F.col("t.size"))
+
+    best = pinned(run, "best", F.array_max(F.transform("y", lambda y: F.struct(dice(y).alias("dice"), F.negative(y["i"]).alias("last"))))).filter(F.col("best.dice") >= threshold - 1e-9)
+    last = F.negative("best.last")
+    return best.select("_d", "_t", F.col("t.license").alias("license"), F.col("best.dice").alias("dice"), F.col("x.i").alias("first"), last.alias("last"), F.element_at("line", F.col("x.i")).alias("a"), F.element_at("line", last + 1).alias("b"))
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(_d, _t, unit, license, dice) of all matching units; unit 0 is the whole text, others are lines from 1."""
+    """(_d, _t, unit, license, dice) of all matching units; unit 0 is the whole text, others are lines from 1, and passages have minus
+    the line that they begin in."""
+    units = whole_units(docs, templates, threshold)
+    runs = passages(docs, templates, threshold).distinct().groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct(F.negative("dice").alias("d"), "first", "last", "license", "a", "b"))).alias("runs"))
+    reported = units.groupBy("_d", "_t").agg(F.collect_list(F.struct("unit", "license", "dice")).alias("units"))
+    same = lambda u, r: (u["unit"] == 0) & (u["license"] == r["license"])
+    better = lambda u, r: u["unit"].between(r["a"], r["b"]) & ((u["dice"] >= -r["d"] - 1e-9) | ((r["a"] == r["b"]) & (u["license"] == r["license"])))
+    left = pinned(runs.join(reported, ["_d", "_t"], "left"), "r", F.filter("runs", lambda r: ~F.exists(F.coalesce("units", F.array()), lambda u: same(u, r) | better(u, r)))).filter(F.size("r") > 0)
+    apart = lambda kept, r: ~F.exists(kept, lambda q: (q["first"] <= r["last"]) & (r["first"] <= q["last"]))
+    kept = F.aggregate("r", F.slice("r", 1, 0), lambda kept, r: F.when(apart(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    return units.unionByName(left.select("_d", "_t", F.explode(kept).alias("r")).select("_d", "_t", F.negative("r.a").alias("unit"), "r.license", F.negative("r.d").alias("dice")))
+
+
+def whole_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """The matching lines and whole texts."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
     low, high = (threshold / (2 - threshold), (2 - threshold) / threshold)

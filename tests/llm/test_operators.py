@@ -111,6 +111,28 @@ def test_license_scan_edges(spark):
     assert op2_licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_passages_inside_longer_texts(spark):
+    """Wrapped notices at the top of a file, a sentence inside prose, two copies; common words alone match nothing."""
+    r = random.Random(5)
+    of = collections.defaultdict(list)
+    for name, t in op2_licenses.TEMPLATES:
+        of[name].append(t)
+    wrap = lambda t: "".join(f" * {t.split()[i]}" if i % 9 == 0 else " " + t.split()[i] + ("\n" if i % 9 == 8 else "") for i in range(len(t.split())))
+    prose = lambda n: "\n".join(text(r, 12) for _ in range(n))
+    notices = ["MIT", "ISC", "MPL-2.0", "GPL-3.0", "GPL-2.0", "BSD-3-Clause", "Apache-2.0"]
+    long = {x: max(of[x], key=len) for x in notices}
+    rows = [(i, f"/*\n{wrap(long[x])}\n*/\n{prose(60)}") for i, x in enumerate(notices)]
+    rows += [(20, f"{prose(9)} {of['MIT'][0]} {text(r, 50)}\n{prose(3)}"), (21, f"x\n{wrap(long['ISC'])}\n{prose(40)}\n{wrap(long['ISC'])}"), (22, prose(80) + "\nthe rights to use of the work in the file"), (23, "Released under the MIT License.\n" + prose(50))]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for x in op2_licenses.license_scan(df).collect():
+        got[x._d].append((x.unit, x.license, x.dice))
+    for i, name in enumerate(notices):
+        assert any(u == -2 and lic == name and d > 0.95 for u, lic, d in got[i]), (name, got[i])
+    assert got[20] == [(-9, "MIT", 1.0)] and got[22] == [] and got[23] == [(1, "MIT", 1.0)] and len(got[0]) == 1
+    assert [lic for u, lic, d in got[21] if u < 0] == ["ISC", "ISC"]
+
+
 def test_decontamination_against_brute_force(spark):
     docs, rows = corpus(spark)
     r = random.Random(3)
