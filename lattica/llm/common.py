@@ -52,7 +52,7 @@ def build_bloom(df: DataFrame, col: str, rows: int, max_bits: int = BLOOM_BITS)
     probes = df.select(F.explode(F.array(x.bitwiseAND(bits - 1), F.shiftrightunsigned(x, 32).bitwiseAND(bits - 1))).alias("b"))
     words = probes.groupBy(F.shiftright("b", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w"))
     out = np.zeros(bits // 64, np.int64)
-    got = words.toPandas()
+    got = words.toArrow()  # toPandas makes a Python row of each
     out[got["i"].to_numpy()] = got["w"].to_numpy()
     return out.view(np.uint64)
 

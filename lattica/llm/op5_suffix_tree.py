@@ -1,20 +1,24 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of at most two words. A context may become a state only if its probability in the training
-texts is at least ``p_min``, and so may the (context, next symbol) entries that a state keeps; there are at most 1 / p_min of
-each whatever the corpus, which is the proven bound of everything that is broadcast. All counts are exact and cover all training
-texts: each task counts its own blocks, sums are grouped aggregations. A state is retained if its smoothed next-symbol
-distribution diverges from its suffix's by ``min_gain`` nats over the context's occurrences (Kullback-Leibler divergence times
-count), or if a longer retained state needs it. A state's distribution is interpolated by absolute discounting:
+The tree's states are contexts of any number of words. A context with at least ``LEAST`` occurrences of a next symbol is a
+candidate, whatever the size of the corpus; all counts are exact and cover all training texts. It is retained if its smoothed
+next-symbol distribution diverges from its suffix's by ``min_gain`` nats over its occurrences (Kullback-Leibler divergence times
+count), or if a longer retained state needs it. The distribution is interpolated by absolute discounting:
 
     P(w | s) = max(c(sw) - d, 0) / c(s) + g(s) P(w | suffix(s)),   P(w) = (c(w) + 1) / (N + V + 1)
 
 with g(s) the mass the kept entries leave, so each distribution sums to one; a word not in training has the mass of one
 unknown symbol. A word is scored in the longest retained suffix of what is before it (the end symbol is scored, not a context).
+Contexts of one and two words are all tried. From two words on a context is lengthened if it passes the test itself, and any is only
+where that can pay: c(s')KL of a context s' one word longer than s is at most the sum over w of (c(sw) - d) log 1 / P(w | s), so where
+this is under ``min_gain`` no such context can pass. The levels end when no context is left to lengthen; there is no greatest depth.
+What only three or more words together tell, and the last two don't, is not found.
 
-log P(w | s) = log P(w) + a correction, and for words below p_min the correction is a sum of log g alone. So the rows of texts
-take corrections and frequent words' counts from the broadcast tree, and only the rare words of each text go through a
-shuffle join with the full unigram table.
+Levels are tables in the shared folder, by shuffle joins; a Bloom filter of fixed size keeps most words that cannot count out of them.
+log P(w | s) - log P(w) is a sum over the retained states on the way to s, of log P(w | t) / P(w | suffix(t)) for t with an entry w
+and log g(t) otherwise. So the rows of texts take the terms of frequent states and entries from a broadcast of 1 / p_min values at
+most and request the others, by row, from the tables; ``p_min`` decides what is broadcast and nothing else. Words are treated alike.
+``train`` builds a tree of depth 2 with a least probability in memory, for comparison; no query uses it.
 
 Defined cases: a null or empty text has the end token alone; rows that share a doc_id are scored each; a null doc_id is taken
 as the text "" for the split; an empty table gives an empty result; with nothing to train on all tokens are unknown; other columns
@@ -34,12 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import written
+from lattica.llm.common import bloom_has, build_bloom, written
 
 #: The end token's hash; 2**-64 odds that a word has it.
 END = np.uint64(0x3C6EF372FE94F82B)
 #: Tokens that a task counts at once.
 BLOCK_TOKENS = 2_000_000
+#: Occurrences that an entry has at least; with the discount one occurrence says little.
+LEAST = 2
 SHIFT = np.int64(21)  # symbols have ids below 2**21
 
 
@@ -197,40 +203,186 @@ def _rest(context: np.ndarray, p: np.ndarray, q: np.ndarray, g: np.ndarray, n: i
     return mass * np.log(np.maximum(g, 1e-300))
 
 
-def _score(tree: Tree):
+def _grams(tokens: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of each token in its row, and hashes of the 0 to ``n`` words that end there: the earlier words' turned, xor the last."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    out = [np.zeros(len(tokens), np.uint64)]
+    for _ in range(n):
+        before = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])
+        out.append((before << np.uint64(23) | before >> np.uint64(41)) ^ tokens)
+    return place, out
+
+
+def _turned(c: str):
+    return F.shiftleft(c, 23).bitwiseOR(F.shiftrightunsigned(c, 41))
+
+
+def _count_level(k: int, entries: np.ndarray, growing: np.ndarray | None, known: np.ndarray | None):
+    """(gram, ctx, n, context) of words after contexts of ``k`` words, and of these contexts after their first word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, counts = TaskContext.get().partitionId() << 33, 0, np.append(tree.symbols.counts, 0)
-        log_hot = np.append(np.log10((tree.symbols.counts + 1) / (tree.total + tree.distinct + 1)), 0.0)
+        for tokens, first in _training(batches):
+            place, grams = _grams(tokens, first, k + 1)
+            at = np.flatnonzero(place >= k)
+            if growing is not None:
+                at = at[bloom_has(growing, grams[k - 1][at - 1])]
+                if known is None:  # else the level before has their counts
+                    yield _level_rows(grams[k][at - 1], grams[k - 1][at - 1], True)
+            at = at[bloom_has(entries, grams[k][at])]
+            if known is not None:
+                at = at[bloom_has(known, grams[k][at - 1])]
+            yield _level_rows(grams[k + 1][at], grams[k][at - 1], False)
+
+    return run
+
+
+def _level_rows(gram: np.ndarray, ctx: np.ndarray, context: bool) -> pa.RecordBatch:
+    g, at, n = np.unique(gram, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ctx[at].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(g), context))], ["gram", "ctx", "n", "context"])
+
+
+def _states(k: int, discount: float, min_gain: float):
+    """Rows by ctx: adds p, delta and log_g (log10), and whether the context passes and may grow."""
+
+    def solved(x: pa.Table) -> pa.RecordBatch:
+        ctx, n, n_ctx, base = (x.column(c).to_numpy() for c in ("ctx", "n", "n_ctx", "base"))
+        start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ctx))))
+        own = (n - discount) / n_ctx
+        g = 1 - np.add.reduceat(own, start)
+        p = own + g[of] * base
+        log_g = np.log(np.maximum(g, 1e-300))
+        gain = np.add.reduceat(p * np.log(p / base), start) + np.maximum(1 - np.add.reduceat(base, start), 0) * g * log_g
+        room = np.add.reduceat((n - discount) * -np.log(np.minimum(p, 1.0)), start)
+        passes = gain * n_ctx[start] >= min_gain
+        cols = [x.column(c).combine_chunks() for c in ("gram", "ctx", "sctx", "sgram", "n", "n_ctx")]
+        cols += [pa.array(c) for c in (p, (np.log(p / base) - log_g[of]) / np.log(10), log_g[of] / np.log(10), passes[of], ((room >= min_gain) & (passes | (k < 2)))[of])]
+        return pa.RecordBatch.from_arrays(cols, _LEVEL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ctx = batch.column("ctx").to_numpy()
+            cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on
+            if cut or (held and held[0].column("ctx")[-1].as_py() != ctx[-1]):
+                whole = [*held, batch.slice(0, cut)]
+                held = []
+                yield solved(pa.Table.from_batches(whole))
+            held.append(batch.slice(cut))
+        if held:
+            yield solved(pa.Table.from_batches(held))
+
+    return run
+
+
+_LEVEL = ["gram", "ctx", "sctx", "sgram", "n", "n_ctx", "p", "delta", "log_g", "passes", "grows"]
+_LEVEL_SCHEMA = "gram long, ctx long, sctx long, sgram long, n long, n_ctx long, p double, delta double, log_g double, passes boolean, grows boolean"
+
+
+def _key(gram: np.ndarray, level: int, entry: bool) -> np.ndarray:
+    return ta.mix(gram ^ ta.mix(np.full(1, 2 * level + entry + 1, np.uint64)))
+
+
+def _keyed(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, entry = batch.column("gram").to_numpy().view(np.uint64), batch.column("entry").to_numpy(zero_copy_only=False)
+            key = np.where(entry, _key(gram, level, True), _key(gram, level, False))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n"), batch.column("value")], ["key", "n", "value"])
+
+    return run
+
+
+def grow(docs: DataFrame, words: DataFrame, total: int, distinct: int, discount: float = 0.5, min_gain: float = 6.0) -> tuple[int, DataFrame | None]:
+    """(depth, (key, n, value) of all retained states and their entries)."""
+    texts = docs.select("doc_id", "text")
+    before = words.filter(F.col("n") >= LEAST).select(F.col("key").alias("gram"), "n", ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"), F.lit(True).alias("grows"))
+    levels: list[DataFrame] = []
+    while True:
+        k = len(levels) + 1
+        lengthened = before.filter("grows")
+        n = lengthened.count()
+        if not n:
+            break
+        roots = build_bloom(lengthened.select("ctx").distinct(), "ctx", n) if k > 1 else None
+        known = build_bloom(before, "gram", before.count()) if k <= 2 else None  # all words and pairs are counted; of longer runs not all
+        counted = texts.mapInArrow(_count_level(k, build_bloom(lengthened, "gram", n), roots, known), "gram long, ctx long, n long, context boolean").groupBy("gram", "context").agg(F.first("ctx").alias("ctx"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+        counted = counted if k <= 2 else written(counted, "grams")
+        if k == 1:
+            contexts = words.select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("sctx"), F.col("n").alias("n_ctx"))
+        elif k == 2:
+            contexts = before.select(F.col("gram").alias("ctx"), F.col("sgram").alias("sctx"), F.col("n").alias("n_ctx"))
+        else:
+            contexts = counted.filter("context").select(F.col("gram").alias("ctx"), F.col("ctx").alias("sctx"), F.col("n").alias("n_ctx"))
+        rows = counted.filter("not context").select("gram", "ctx", "n").join(contexts, "ctx")
+        rows = rows.withColumn("sgram", F.col("gram").bitwiseXOR(_turned("ctx")).bitwiseXOR(_turned("sctx")))
+        rows = rows.join(lengthened.select(F.col("gram").alias("sgram"), F.col("p").alias("base")), "sgram")
+        before = written(rows.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(_states(k, discount, min_gain), _LEVEL_SCHEMA), "level")
+        levels.append(before)
+    needed, parts = None, []
+    for k, level in reversed([*enumerate(levels, 1)]):
+        if needed is not None:
+            level = level.join(needed, "ctx", "left").withColumn("passes", F.col("passes") | F.col("longer").isNotNull())
+        kept = level.filter("passes")
+        states = kept.groupBy("ctx").agg(F.first("sctx").alias("sctx"), F.first("n_ctx").alias("n"), F.first("log_g").alias("value"))
+        states = written(states, "states")
+        parts.append(kept.select("gram", "n", F.col("delta").alias("value"), F.lit(True).alias("entry")).union(states.select(F.col("ctx").alias("gram"), "n", "value", F.lit(False))).mapInArrow(_keyed(k), "key long, n long, value double"))
+        needed = states.select(F.col("sctx").alias("ctx"), F.lit(True).alias("longer")).distinct()
+    out = None
+    for x in parts:
+        out = x if out is None else out.union(x)
+    return len(levels), out
+
+
+def _score(symbols: Symbols, total: int, distinct: int, depth: int, keys: np.ndarray, values: np.ndarray, others: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, counts = TaskContext.get().partitionId() << 33, 0, symbols.counts
+        log_hot = np.append(np.log10((counts + 1) / (total + distinct + 1)), 0.0)
+        worth = np.append(values, 0.0)
         for batch in batches:
             held = _held_out(batch)
             for a, b, tokens, first in _tokens(batch):
-                ids = tree.symbols.ids(tokens)
+                ids = symbols.ids(tokens)
                 n = np.diff(first)
+                doc = np.repeat(np.arange(b - a), n)
+                place, grams = _grams(tokens, first, depth + 1)
+                more = np.zeros(len(tokens))
+                asked = [(doc[ids < 0], tokens[ids < 0], False)]
+                for k in range(1, depth + 1):
+                    at = np.flatnonzero(place >= k)
+                    for key in (_key(grams[k][at - 1], k, False), _key(grams[k + 1][at], k, True)):
+                        found = _find(keys, key)
+                        more[at] += worth[found]
+                        if others is not None:
+                            ask = np.flatnonzero(found < 0)
+                            ask = ask[bloom_has(others, key[ask])]
+                            asked.append((doc[at[ask]], key[ask], True))
                 hot = np.add.reduceat((ids >= 0).astype(np.int64), first[:-1])
-                base = np.add.reduceat(log_hot[ids], first[:-1])
-                more = np.add.reduceat(tree.corrections(ids, first), first[:-1])
+                base, more = np.add.reduceat(log_hot[ids], first[:-1]), np.add.reduceat(more, first[:-1])
                 name = np.arange(part + row, part + row + b - a)
                 row += b - a
                 ids_of = batch.column("doc_id").slice(a, b - a)
                 none = lambda kind, k: pa.nulls(k, kind)
-                yield _rows(name, ids_of, pa.array(held[a:b]), n, hot, base, more, none(pa.int64(), b - a), none(pa.int64(), b - a))
-                rare = np.flatnonzero(ids < 0)
-                if len(rare):
-                    doc = np.repeat(np.arange(b - a), n)[rare]
-                    order = np.lexsort((tokens[rare], doc))
-                    doc, word = doc[order], tokens[rare][order]
-                    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]))
-                    times = np.diff(np.append(start, len(doc)))
+                yield _rows(name, ids_of, pa.array(held[a:b]), n, hot, base, more, none(pa.int64(), b - a), none(pa.int64(), b - a), none(pa.bool_(), b - a))
+                for of, word, gram in asked:
+                    if not len(of):
+                        continue
+                    order = np.lexsort((word, of))
+                    of, word = of[order], word[order]
+                    start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])]))
+                    times = np.diff(np.append(start, len(of)))
                     k = len(start)
                     zero, none_f = np.zeros(k, np.int64), np.zeros(k)
-                    yield _rows(name[doc[start]], none(ids_of.type, k), none(pa.bool_(), k), zero, zero, none_f, none_f, pa.array(word[start].view(np.int64)), pa.array(times.astype(np.int64)))
+                    yield _rows(name[of[start]], none(ids_of.type, k), none(pa.bool_(), k), zero, zero, none_f, none_f, pa.array(word[start].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.full(k, gram)))
 
     return run
 
 
-def _rows(name, doc_id, held, n, hot, base, more, word, times) -> pa.RecordBatch:
-    cols = [pa.array(name), doc_id, held, pa.array(n.astype(np.int64)), pa.array(hot), pa.array(base), pa.array(more), word, times]
-    return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "hot", "base", "more", "word", "times"])
+def _rows(name, doc_id, held, n, hot, base, more, word, times, gram) -> pa.RecordBatch:
+    cols = [pa.array(name), doc_id, held, pa.array(n.astype(np.int64)), pa.array(hot), pa.array(base), pa.array(more), word, times, gram]
+    return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "hot", "base", "more", "word", "times", "gram"])
 
 
 def train(docs: DataFrame, p_min: float = 1e-6, discount: float = 0.5, min_gain: float = 6.0) -> tuple[Tree, DataFrame]:
@@ -257,16 +409,37 @@ def train(docs: DataFrame, p_min: float = 1e-6, discount: float = 0.5, min_gain:
 
 def score(docs: DataFrame, p_min: float = 1e-6, discount: float = 0.5, min_gain: float = 6.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    tree, words = train(docs, p_min, discount, min_gain)
+    words = written(docs.select("doc_id", "text").mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    most = int(1 / p_min)
+    hot_words = words.filter(F.col("n") >= max(LEAST, math.ceil(p_min * total))).toArrow()  # 1 / p_min rows at most
+    symbols = Symbols(hot_words["key"].to_numpy().view(np.uint64), hot_words["n"].to_numpy())
+    depth, tree = grow(docs, words, total, distinct, discount, min_gain)
+    keys, values, others, rest = np.zeros(0, np.uint64), np.zeros(0), None, None
+    if tree is not None:
+        tree = written(tree, "tree")
+        least = LEAST
+        while tree.filter(F.col("n") >= least).count() > most:
+            least *= 2
+        hot = tree.filter(F.col("n") >= least).select("key", "value").toArrow()
+        keys = hot["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, values = keys[order], hot["value"].to_numpy()[order]
+        rest = tree.filter(F.col("n") < least)
+        left = rest.count()
+        others = build_bloom(rest, "key", left) if left else None
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, hot long, base double, more double, word long, times long"
-    scored = written(docs.select("doc_id", "text").mapInArrow(_score(tree), schema), "token-scores")
-    known = scored.filter("word is not null").select("row", "word", "times").join(words.select(F.col("key").alias("word"), "n"), "word", "left")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
+    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, hot long, base double, more double, word long, times long, gram boolean"
+    scored = written(docs.select("doc_id", "text").mapInArrow(_score(symbols, total, distinct, depth, keys, values, others), schema), "token-scores")
+    known = scored.filter("not gram").select("row", "word", "times").join(words.select(F.col("key").alias("word"), "n"), "word", "left")
+    log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     rare = known.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * log_p).alias("rare_base"))
     out = scored.filter("word is null").join(rare, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hot") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
+    if others is not None:
+        asked = scored.filter("gram").select("row", "word", "times").join(rest.select(F.col("key").alias("word"), "value"), "word")
+        out = out.join(asked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("asked")), "row", "left").withColumn("more", F.col("more") + F.coalesce("asked", F.lit(0.0)))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("hot") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
 
 
 def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

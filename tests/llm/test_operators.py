@@ -279,6 +279,52 @@ def test_suffix_tree_distributions_sum_to_one(spark):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_suffix_tree_of_any_depth_against_plain_python(spark):
+    """What is broadcast (p_min) changes no score; rare contexts and long ones count."""
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        bits = [r.randrange(2) for _ in range(4)]
+        rows.append((i, " ".join(f"{'pqrs'[k]}{x}" for k, x in enumerate(bits)) + f" w{''.join(map(str, bits))} " + " ".join(r.choice("klm") for _ in range(6))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toks = {i: words(t) + [None] for i, t in rows}
+    train = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(tuple(t[i:j]) for t in train for i in range(len(t)) for j in range(i + 1, len(t) + 1))
+    total, v = sum(map(len, train)), len({w for t in train for w in t})
+    p = {g: (n + 1) / (total + v + 1) for g, n in c.items() if len(g) == 1}
+    g, grows, keep, level = {}, {()}, set(), 1
+    while grows:
+        nxt = collections.defaultdict(dict)
+        for e, n in c.items():
+            if len(e) == level + 1 and n >= 2 and e[1:-1] in grows and e[1:] in p:
+                nxt[e[:-1]][e[-1]] = n
+        grows = set()
+        for s, e in nxt.items():
+            g[s] = 1 - sum((n - 0.5) / c[s] for n in e.values())
+            q = {w: p[s[1:] + (w,)] for w in e}
+            p |= {s + (w,): (n - 0.5) / c[s] + g[s] * q[w] for w, n in e.items()}
+            gain = sum(p[s + (w,)] * math.log(p[s + (w,)] / q[w]) for w in e) + max(1 - sum(q.values()), 0) * g[s] * math.log(g[s])
+            passes = gain * c[s] >= 6
+            if passes:
+                keep |= {s[i:] for i in range(len(s))}
+            if sum((n - 0.5) * -math.log(p[s + (w,)]) for w, n in e.items()) >= 6 and (passes or len(s) < 2):
+                grows.add(s)
+        level += 1
+    assert max(map(len, keep)) >= 4
+
+    def log_p(t, i):
+        s = next((tuple(t[j:i]) for j in range(i) if tuple(t[j:i]) in keep), ())
+        out = 0.0
+        while s and s + (t[i],) not in p:
+            out, s = out + math.log10(g[s]), s[1:]
+        return out + math.log10(p.get(s + (t[i],), 1 / (total + v + 1)))
+
+    expect = {i: sum(log_p(t, k) for k in range(len(t))) for i, t in toks.items()}
+    for p_min in (1e-6, 0.1):
+        got = {x.doc_id: x.score for x in op5_suffix_tree.score(docs, p_min=p_min).collect()}
+        assert got == pytest.approx(expect, abs=1e-8)
+
+
 # ---- 6 --------------------------------------------------------------------------------------------------------------
 
 
