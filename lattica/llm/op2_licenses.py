@@ -90,7 +90,7 @@ def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     every = sorted({b for r in table for b in r["bigrams"]})
     split = lambda c: F.filter(F.split(_lower(c), "[^a-z0-9]+"), lambda w: w != "")
     pair = lambda w, i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))
-    worded = pinned(keyed(docs.select("doc_id", "text")).filter("text is not null"), "w", split(F.col("text"))).filter((F.size("w") > 1) & F.exists("w", lambda x: x.isin(signature)))
+    worded = pinned(keyed(docs.select("doc_id", "text"))[0].filter("text is not null"), "w", split(F.col("text"))).filter((F.size("w") > 1) & F.exists("w", lambda x: x.isin(signature)))
     at = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: pair(F.col("w"), i).isin(every))
     hits = pinned(worded, "h", F.transform(at, lambda i: F.struct(i.alias("i"), pair(F.col("w"), i).alias("b")))).filter(F.size("h") >= min(need))
     found = pinned(hits, "t", F.filter(listed, lambda t: F.size(F.array_intersect(F.transform("h", lambda x: x["b"]), t["bigrams"])) >= t["need"])).filter(F.size("t") > 0)
@@ -135,7 +135,7 @@ def whole_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     least, most = int(min(sizes) * low), int(max(sizes) * high) + 1
     index = checked_broadcast(table.select("template", "license", "size", F.explode("bigrams").alias("b")))
     text = F.regexp_replace(_lower(F.coalesce("text", F.lit(""))), "[^a-z0-9\n]+", " ")
-    lines = pinned(keyed(docs.select("doc_id", "text")).select("_d", "_t", text.alias("x")), "l", F.split("x", "\n")).drop("x")
+    lines = pinned(keyed(docs.select("doc_id", "text"))[0].select("_d", "_t", text.alias("x")), "l", F.split("x", "\n")).drop("x")
     units = lines.select("_d", "_t", F.posexplode(F.concat(F.array(F.when(F.size("l") > 1, F.concat_ws(" ", "l"))), "l")).alias("unit", "u")).filter(F.col("u").isNotNull())
     worded = pinned(units, "w", F.filter(F.split("u", " "), lambda w: w != "")).drop("u").filter(F.size("w") > max(1, least))
     sets = pinned(worded, "s", _bigrams(F.col("w"))).drop("w").withColumn("n", F.size("s")).filter(F.col("n").between(least, most))

@@ -13,7 +13,7 @@ shuffling beyond that.
 Defined cases: a null or blank text contains nothing and an item without words is not searched; an item of fewer than ``size``
 words is one shingle and found only in a document that consists of the same words; equal items are reported each; rows that
 share a doc_id are searched each and the largest share is reported; a null doc_id is reported as null; empty tables give
-an empty result; other columns are not looked at (``decontaminate`` carries them along).
+an empty result; other columns are not looked at (``decontaminate`` carries them along, whatever their names).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import NO_ID, checked_broadcast, keyed, pinned, tokens_of, written
+from lattica.llm.common import NO_ID, checked_broadcast, keyed, pinned, tokens_of, without, written
 
 
 def _shingles(words: Column, size: int, as_text: bool) -> Column:
@@ -49,7 +49,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: i
 
     ``docs`` needs doc_id and text, ``items`` item_id and text.
     """
-    texts = keyed(docs.select("doc_id", "text")).drop("doc_id")
+    texts = keyed(docs.select("doc_id", "text"))[0].drop("doc_id")
     named = items.select(F.col("item_id").alias("item"), "text").filter(F.col("text").isNotNull())
     sketch = checked_broadcast(written(sketches(named, threshold, size).distinct(), "item-sketches"))
     probes = shingled(texts, size, as_text=False).select("_d", "_t", F.explode("sh").alias("h"))
@@ -66,7 +66,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: i
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """``docs`` without the rows that hold a test item."""
     bad = written(contained(docs, items, threshold, size).select("_d", "_t").distinct(), "contaminated")
-    return keyed(docs).join(checked_broadcast(bad), ["_d", "_t"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return without(docs, bad)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

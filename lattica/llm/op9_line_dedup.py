@@ -8,7 +8,8 @@ summaries. The result is one zlib-compressed keep bitmap per changed document; t
 
 Defined cases: a null or empty text is one empty line; a null doc_id is one document, smaller than all others; rows
 that share a doc_id are one document, and each of its texts gets its own bitmap; equal rows get equal results; an empty
-table gives an empty result; other columns are carried along by ``apply_bitmaps`` and otherwise not looked at.
+table gives an empty result; other columns, whatever their names, are carried along by ``apply_bitmaps`` and otherwise not looked at (a
+column named as one of its two results keeps its name, and the result's gets a ``_``).
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import checked_broadcast, written
+from lattica.llm.common import NO_ID, checked_broadcast, keyed, sheltered, written
 
 SPACE = " \t\n\x0b\x0c\r"
-_NONE = -(1 << 63)
 _DROP, _OPEN, _EDGE = 0, 1, 2
 _STREAM = "kind byte, h long, g long, d long, t long, pos int"
 
@@ -101,7 +101,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
     """(d, t, keep): for each text that loses lines its document, its xxhash64 and the zlib-compressed bits of the lines it keeps."""
     spark = docs.sparkSession
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select(F.coalesce("doc_id", F.lit(_NONE)).cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     keys = base.select("d", "t", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     rows = keys.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), "d", "t", "pos")
     ranged = rows.repartitionByRange(n, F.col("h"), F.col("g"), F.col("d").desc()).sortWithinPartitions("h", "g", F.col("d").desc(), "t", "pos")
@@ -132,12 +132,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines gone from ``text``, and the columns line_dedup_lines and line_dedup_dropped."""
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(_NONE)).cast("long"), "_t": F.xxhash64("text")})
-    b = checked_broadcast(bitmaps).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "keep")
-    joined = keyed.join(b, ["_d", "_t"], "left").drop("_d", "_t")
-    others = [f for f in docs.schema if f.name != "text"]
+    inner, restored = sheltered(docs, "doc_id", "text")
+    b = checked_broadcast(bitmaps, row_bytes=256).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "keep")
+    joined = keyed(inner)[0].join(b, ["_d", "_t"], "left").drop("_d", "_t")
+    others = [f for f in inner.schema if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string, line_dedup_lines long, line_dedup_dropped long"])
-    return joined.select(*(f"`{f.name}`" for f in others), "text", "keep").mapInArrow(_apply, schema)
+    out = joined.select(*(f"`{f.name}`" for f in others), "text", "keep").mapInArrow(_apply, schema)
+    return restored(out, "line_dedup_lines", "line_dedup_dropped")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

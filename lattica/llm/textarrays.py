@@ -13,21 +13,9 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240229)
-_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]  # words are compared with A-Z lower-cased
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        out[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(out)
-    return have[:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32  # words are compared with A-Z lower-cased
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,10 +66,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     first[edge] = solid[edge]
     last[edge - 1] = solid[edge - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[data] * _powers(_BASE, n), out=total[1:])
-    words = mix((total[end] - total[start]) * _powers(_INVERSE, n + 1)[start] ^ ((end - start).astype(np.uint64) << np.uint64(40)))
-    return words, np.searchsorted(start, offsets)
+    return _hashed(data, start, end - start), np.searchsorted(start, offsets)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Each word's runs of eight bytes, finalised with their place, are summed: no algebra of the bytes carries over to the sum."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    runs = (length + 7) >> 3
+    first = np.cumsum(runs) - runs
+    place = np.arange(int(runs.sum())) - np.repeat(first, runs)
+    left = np.minimum(np.repeat(length, runs) - 8 * place, 8)
+    value = eight[np.repeat(start, runs) + 8 * place] & _MASK[left]
+    value = mix(value ^ place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if len(value) > len(runs):
+        value = np.add.reduceat(value, first)
+    return mix(value + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
