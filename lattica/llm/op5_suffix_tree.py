@@ -1,445 +1,583 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of any number of words. A context with at least ``LEAST`` occurrences of a next symbol is a
-candidate, whatever the size of the corpus; all counts are exact and cover all training texts. It is retained if its smoothed
-next-symbol distribution diverges from its suffix's by ``min_gain`` nats over its occurrences (Kullback-Leibler divergence times
-count), or if a longer retained state needs it. The distribution is interpolated by absolute discounting:
-
-    P(w | s) = max(c(sw) - d, 0) / c(s) + g(s) P(w | suffix(s)),   P(w) = (c(w) + 1) / (N + V + 1)
-
-with g(s) the mass the kept entries leave, so each distribution sums to one; a word not in training has the mass of one
-unknown symbol. A word is scored in the longest retained suffix of what is before it (the end symbol is scored, not a context).
-Contexts of one and two words are all tried. From two words on a context is lengthened if it passes the test itself, and any is only
-where that can pay: c(s')KL of a context s' one word longer than s is at most the sum over w of (c(sw) - d) log 1 / P(w | s), so where
-this is under ``min_gain`` no such context can pass. The levels end when no context is left to lengthen; there is no greatest depth.
-What only three or more words together tell, and the last two don't, is not found.
-
-Levels are tables in the shared folder, by shuffle joins; a Bloom filter of fixed size keeps most words that cannot count out of them.
-log P(w | s) - log P(w) is a sum over the retained states on the way to s, of log P(w | t) / P(w | suffix(t)) for t with an entry w
-and log g(t) otherwise. So the rows of texts take the terms of frequent states and entries from a broadcast of 1 / p_min values at
-most and request the others, by row, from the tables; ``p_min`` decides what is broadcast and nothing else. Words are treated alike.
-``train`` builds a tree of depth 2 with a least probability in memory, for comparison; no query uses it.
+The tree's states are contexts of any number of words. With c(sw) the training occurrences of the word (or end) w after the context
+s - where they are at least two without the first word of s, and none otherwise -, c(s) their sum, B(s) the number of different
+words after s, and Q the distribution of the longest retained proper suffix of s,
+
+    P(w | s) = (c(sw) + B(s) Q(w)) / (c(s) + B(s)),      P(w) = (c(w) + 1) / (N + V + 1)  without a context.
+
+Each distribution sums to one; a word not in training has the mass of one unknown symbol. A context is retained if it diverges from
+that suffix: its occurrences times the Kullback-Leibler divergence of its next-symbol distribution from Q, each occurrence judged by
+the others (leaving one out, so what occurs once speaks against a context), is ``min_gain`` nats or more. A word is scored in the longest
+retained suffix of what is before it. Counts are exact and cover all training texts; two occurrences can make a state in a
+corpus of any size, and there is no greatest depth: a context s is lengthened while the sum over the w with c(sw) >= 2 of
+c(sw) log 1 / P(w | s) reaches ``min_gain``, which no longer context can gain otherwise, and, from two words on, if it is
+retained. So all contexts of one and two words are tried; what only three or more words together tell, and the last two don't, is not
+found. (The test takes log Q in steps of 0.001.)
+
+Tokens lie in blocks, a row each. At a level every block sends what it counted after each context, compressed, to the partition
+of the context; the partition sums the blocks' counts, judges the context, and sends the counts of what was asked back to the
+blocks. So the corpus is never exploded into rows, and a level takes two shuffles of a few bytes for each different
+continuation of a block. What occurred once at one level isn't sent at the next, only how often that was so. A context that has more than
+half a partition's share of all occurrences is dealt to several partitions by the next symbol, and judged from their sums.
+
+Words and contexts are told apart by 64-bit hashes of the words alone; above them all is exact. ``block_tokens`` bounds the memory of
+a task that walks a block (about 200 bytes a token), and ``parts`` (spark.sql.shuffle.partitions) that of one that counts (about 100
+bytes for each different continuation); on a corpus of 10^12 tokens and more ``block_tokens`` should grow with its square root.
 
 Defined cases: a null or empty text has the end token alone; rows that share a doc_id are scored each; a null doc_id is taken
-as the text "" for the split; an empty table gives an empty result; with nothing to train on all tokens are unknown; other columns
-are not looked at.
+as the text "" for the split; an empty table gives an empty result; with nothing to train on all tokens are unknown; a text longer
+than a block is a block; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import bloom_has, build_bloom, written
+from lattica.llm.common import unwritten, written
 
 #: The end token's hash; 2**-64 odds that a word has it.
 END = np.uint64(0x3C6EF372FE94F82B)
-#: Tokens that a task counts at once.
-BLOCK_TOKENS = 2_000_000
-#: Occurrences that an entry has at least; with the discount one occurrence says little.
-LEAST = 2
-SHIFT = np.int64(21)  # symbols have ids below 2**21
+BLOCK_TOKENS = 600_000
+_RETAINED, _GROWS, _SPREAD = 1, 2, 4
+_STATE_BEFORE = 1 << 20
+_ROW = "kind int, block long, part int, payload binary, a long, b long"
+_NAMES = ["kind", "block", "part", "payload", "a", "b"]
+_BLOCK, _SHIP, _STATE, _MORE = -1, 0, 1, 2
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers (in as few bytes as they need) or floats, compressed byte plane by byte plane."""
+    head, body = [len(arrays)], []
+    for a in arrays:
+        if a.dtype != np.float64:
+            top = int(a.max()) if len(a) else 0
+            a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+        head += [a.dtype.itemsize * (-1 if a.dtype == np.float64 else 1), len(a)]
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(1).compress(np.array(head, np.int64).tobytes() + b"".join(body))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    head = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2)
+    at, out = 8 + 16 * n, []
+    for size, length in head.tolist():
+        width = abs(size)
+        a = np.ascontiguousarray(raw[at : at + width * length].reshape(width, length).T).view(np.float64 if size < 0 else f"<u{width}").ravel()
+        out.append(a if size < 0 or width == 8 else a.astype(np.int64))
+        at += width * length
+    return out
+
+
+def _row(kind: int, block: int, part: int, payload: bytes | None, a: int | None = None, b: int | None = None) -> pa.RecordBatch:
+    cols = zip((kind, block, part, payload, a, b), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cols], _NAMES)
+
+
+# ---- blocks -------------------------------------------------------------------------------------------------------
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, token hashes with the end tokens, first token of each row) of runs of rows."""
+    """(first row, end row, token hashes with the end tokens, tokens of each row) of runs of rows."""
     data, offsets = ta.buffers(batch.column("text"))
     for a, b, raw, off in ta.chunks(data, offsets):
         words, first = ta.word_hashes(raw, off)
-        yield a, b, np.insert(words, first[1:], END), first + np.arange(b - a + 1)
-
+        yield a, b, np.insert(words, first[1:], END), np.diff(first) + 1
 
-def _held_out(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i in batch.column("doc_id").to_pylist()], bool)
 
+def held_out(doc_id: object) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, first token of each row) of blocks of training rows."""
-    held: list[np.ndarray] = []
-    rows: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        out = _held_out(batch)
-        for a, b, tokens, first in _tokens(batch):
-            n = np.diff(first)
-            use = ~out[a:b]
-            held.append(tokens[np.repeat(use, n)])
-            rows.append(n[use])
-            size += len(held[-1])
-            if size >= BLOCK_TOKENS:
-                yield np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(rows))])
-                held, rows, size = [], [], 0
-    if size:
-        yield np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(rows))])
 
+def _blocks(block_tokens: int, parts: int, id_type: pa.DataType):
+    """Rows of kind -1, a block each, and of kind 0, the different words of a block with their counts for each range of hashes."""
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    k, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64) if k.dtype == np.uint64 else k), pa.array(n.astype(np.int64))], ["key", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 28
+        tokens, sizes, ids, held_tokens = [], [], [], 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            words, local = np.unique(np.concatenate(tokens), return_inverse=True)
+            docs, n = pa.concat_arrays(ids), np.concatenate(sizes)
+            held = np.array([held_out(i) for i in docs.to_pylist()], np.uint8)
+            count = np.bincount(local[np.repeat(held == 0, n)], minlength=len(words))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            yield with_ids(_row(_BLOCK, name, 0, pack(local, n, held)), lists)
+            for p, at in _by_part(((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), parts):
+                yield with_ids(_row(_SHIP, name, p, pack(words[at], count[at])), pa.nulls(1, pa.list_(id_type)))
+
+        def with_ids(row: pa.RecordBatch, lists: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*row.columns, lists.cast(pa.list_(id_type))], [*_NAMES, "ids"])
 
+        for batch in batches:
+            for a, b, t, n in _tokens(batch):
+                tokens.append(t)
+                sizes.append(n)
+                ids.append(batch.column("doc_id").slice(a, b - a))
+                held_tokens += len(t)
+                if held_tokens >= block_tokens:
+                    yield from block()
+                    tokens, sizes, ids, held_tokens, name = [], [], [], 0, name + 1
+        if tokens:
+            yield from block()
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for tokens, _ in _training(batches):
-        yield _counted(tokens)
+    return run
 
 
-class Symbols:
-    """Ids of the frequent words by their hashes."""
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places in order) of the parts that occur."""
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(at)).tolist():
+        yield p, order[at[p] : at[p + 1]]
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
 
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        """The id of each token, -1 for rare ones."""
-        return _find(self.hashes, tokens)
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[np.ndarray]]]]]:
+    """(part, [(block, arrays)]) of rows sorted by part."""
+    part, held = None, []
+    for batch in batches:
+        for p, block, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload")), strict=True):
+            if part is not None and p != part:
+                yield part, held
+                held = []
+            part = p
+            held.append((block, unpack(payload)))
+    if held:
+        yield part, held
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def _count_words(parts: int):
+    """Sends each block the count and the id of its words; frequent words have small ids. A row -1 has the sums."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _parts_of(batches):
+            words, of = np.unique(np.concatenate([x[0].astype(np.uint64) for _, x in held]), return_inverse=True)
+            count = np.bincount(of, np.concatenate([x[1] for _, x in held]).astype(np.float64), len(words)).astype(np.int64)
+            ids = np.empty(len(words), np.int64)
+            ids[np.argsort(-count, kind="stable")] = np.arange(len(words))
+            ids = ids * parts + part
+            if ids.max() >= 1 << 32:
+                raise ValueError("more than 2**32 different words")
+            yield _row(_SHIP, -1, part, None, int(count.sum()), int((count > 0).sum()))
+            at = 0
+            for block, x in held:
+                here = of[at : at + len(x[0])]
+                at += len(x[0])
+                yield _row(_SHIP, block, part, pack(count[here], ids[here]))
 
-def _previous(ids: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """The id ``k`` places before each token of its row, -1 where there is none."""
-    out = np.full(len(ids), -1, np.int64)
-    if len(ids) > k:
-        out[k:] = ids[:-k]
-    for j in range(k):
-        at = first[:-1] + j
-        out[at[at < first[1:]]] = -1
-    return out
+    return run
 
 
-def _count_pairs(symbols: Symbols):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, first in _training(batches):
-            ids = symbols.ids(tokens)
-            before = _previous(ids, first, 1)
-            use = (ids >= 0) & (before >= 0)
-            yield _counted((before[use] << SHIFT) | ids[use])
+# ---- contexts -----------------------------------------------------------------------------------------------------
 
-    return run
 
+def _judged(n: np.ndarray, q: np.ndarray, of: np.ndarray, ones: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, room if retained, room if not) of contexts from their entries (n, q, context) and the number of other words that occur
+    once; c and b are the contexts' sums."""
+    size = len(c)
+    some = n >= 1
+    n, q, of = n[some].astype(np.float64), q[some], of[some]
+    cc, bb = c[of].astype(np.float64), b[of].astype(np.float64)
+    less = bb - (n == 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = n * np.log((n - 1 + less * q) / (cc - 1 + less) / q)
+        single = ones * np.log((b - 1) / (c + b - 1.0))
+    enough = _occurs_twice(c, b)
+    gain = np.bincount(of, np.where(enough[of], terms, 0.0), size) + np.where((ones > 0) & enough, single, 0.0)
+    many = n >= 2
+    kept = np.bincount(of, np.where(many, -n * np.log((n + bb * q) / (cc + bb)), 0.0), size)
+    return gain, kept, np.bincount(of, np.where(many, -n * np.log(q), 0.0), size)
 
-def _count_triples(symbols: Symbols, pairs: np.ndarray):
-    """Triples of which both pairs are frequent; the key is (index of the first pair, last symbol)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, first in _training(batches):
-            ids = symbols.ids(tokens)
-            b1, b2 = _previous(ids, first, 1), _previous(ids, first, 2)
-            use = np.flatnonzero((ids >= 0) & (b1 >= 0) & (b2 >= 0))
-            use = use[_find(pairs, (b1[use] << SHIFT) | ids[use]) >= 0]
-            ctx = _find(pairs, (b2[use] << SHIFT) | b1[use])
-            yield _counted((ctx[ctx >= 0] << SHIFT) | ids[use][ctx >= 0])
+def _occurs_twice(c: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (c >= 2) | (b >= 2)
 
-    return run
 
+def _numbered(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different numbers of x, all below n, in order; the place of each among them)."""
+    has = np.zeros(n, bool)
+    has[x] = True
+    return np.flatnonzero(has), (np.cumsum(has) - 1)[x]
 
-class Tree:
-    """The retained states: for depth 1 and 2 the contexts, log g of each, and the entries' log10 P(w | s) / P(w)."""
-
-    def __init__(self, symbols: Symbols, total: int, distinct: int, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], discount: float, min_gain: float):
-        self.symbols, self.total, self.distinct = symbols, total, distinct
-        p0 = (symbols.counts + 1) / (total + distinct + 1)
-        k1, n1 = pairs
-        k2, n2 = triples
-        c1, w1 = k1 >> SHIFT, k1 & ((1 << int(SHIFT)) - 1)
-        i2, w2 = k2 >> SHIFT, k2 & ((1 << int(SHIFT)) - 1)
-        # depth 1: a context's occurrences are its word's (each is followed by a word or the end)
-        v = len(symbols.hashes)
-        own1 = np.maximum(n1 - discount, 0) / symbols.counts[c1] if len(k1) else np.zeros(0)
-        g1 = 1 - np.bincount(c1, own1, v)
-        p1 = own1 + g1[c1] * p0[w1] if len(k1) else np.zeros(0)
-        gain1 = np.bincount(c1, p1 * np.log(p1 / p0[w1]), v) + _rest(c1, p1, p0[w1], g1, v)
-        keep1 = (gain1 * symbols.counts >= min_gain) & (np.bincount(c1, minlength=v) > 0)
-        # depth 2: contexts are entries of depth 1
-        own2 = np.maximum(n2 - discount, 0) / n1[i2] if len(k2) else np.zeros(0)
-        g2 = 1 - np.bincount(i2, own2, len(k1))
-        suffix = _find(k1, (w1[i2] << SHIFT) | w2) if len(k2) else np.zeros(0, np.int64)  # the pair (second word, next)
-        base = np.where(suffix >= 0, p1[suffix] if len(k1) else 0, 0.0)
-        p2 = own2 + g2[i2] * base
-        gain2 = np.bincount(i2, p2 * np.log(p2 / base), len(k1)) + _rest(i2, p2, base, g2, len(k1))
-        keep2 = (gain2 * n1 >= min_gain) & (np.bincount(i2, minlength=len(k1)) > 0)
-        keep1[np.unique(w1[keep2])] = True  # suffixes of states are states
-        self.state1, self.log_g1 = keep1, np.where(keep1, np.log10(np.maximum(g1, 1e-300)), 0.0)
-        use1 = keep1[c1] if len(k1) else np.zeros(0, bool)
-        self.pairs, self.more1 = k1, np.where(use1, np.log10(p1 / p0[w1]) if len(k1) else 0, 0.0)
-        self.entry1 = use1
-        self.state2, self.log_g2 = keep2, np.where(keep2, np.log10(np.maximum(g2, 1e-300)), 0.0)
-        self.triples, self.more2 = k2[keep2[i2]], np.log10(p2 / p0[w2])[keep2[i2]] if len(k2) else np.zeros(0)
-
-    def corrections(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of P(w | longest retained suffix) / P(w) for each token."""
-        b1, b2 = _previous(ids, first, 1), _previous(ids, first, 2)
-        out = np.zeros(len(ids))
-        has1 = np.flatnonzero((b1 >= 0) & np.append(self.state1, False)[b1])
-        pair = _find(self.pairs, np.where(ids[has1] >= 0, (b1[has1] << SHIFT) | ids[has1], -1))
-        in1 = (pair >= 0) & np.append(self.entry1, False)[pair]
-        out[has1] = np.where(in1, np.append(self.more1, 0.0)[pair], self.log_g1[b1[has1]])
-        at = has1[b2[has1] >= 0]
-        ctx = _find(self.pairs, (b2[at] << SHIFT) | b1[at])
-        use = (ctx >= 0) & np.append(self.state2, False)[ctx]
-        at, ctx = at[use], ctx[use]
-        triple = _find(self.triples, np.where(ids[at] >= 0, (ctx << SHIFT) | ids[at], -1))
-        out[at] = np.where(triple >= 0, np.append(self.more2, 0.0)[triple], out[at] + self.log_g2[ctx])
-        return out
-
-
-def _rest(context: np.ndarray, p: np.ndarray, q: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-    """The divergence's part of all symbols without an entry: their mass times log g."""
-    mass = np.maximum(1 - np.bincount(context, q, n), 0) * g
-    return mass * np.log(np.maximum(g, 1e-300))
-
-
-def _grams(tokens: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The place of each token in its row, and hashes of the 0 to ``n`` words that end there: the earlier words' turned, xor the last."""
-    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-    out = [np.zeros(len(tokens), np.uint64)]
-    for _ in range(n):
-        before = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])
-        out.append((before << np.uint64(23) | before >> np.uint64(41)) ^ tokens)
-    return place, out
-
-
-def _turned(c: str):
-    return F.shiftleft(c, 23).bitwiseOR(F.shiftrightunsigned(c, 41))
-
-
-def _count_level(k: int, entries: np.ndarray, growing: np.ndarray | None, known: np.ndarray | None):
-    """(gram, ctx, n, context) of words after contexts of ``k`` words, and of these contexts after their first word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, first in _training(batches):
-            place, grams = _grams(tokens, first, k + 1)
-            at = np.flatnonzero(place >= k)
-            if growing is not None:
-                at = at[bloom_has(growing, grams[k - 1][at - 1])]
-                if known is None:  # else the level before has their counts
-                    yield _level_rows(grams[k][at - 1], grams[k - 1][at - 1], True)
-            at = at[bloom_has(entries, grams[k][at])]
-            if known is not None:
-                at = at[bloom_has(known, grams[k][at - 1])]
-            yield _level_rows(grams[k + 1][at], grams[k][at - 1], False)
+def _narrow(part: np.ndarray) -> np.ndarray:
+    """Partition numbers in 16 bits where they fit: NumPy sorts those by counting."""
+    return part.astype(np.uint16) if not len(part) or part.max() < 1 << 16 else part
 
-    return run
 
+def _hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        h = ta.mix(h * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64) + np.uint64(1))
+    return h
 
-def _level_rows(gram: np.ndarray, ctx: np.ndarray, context: bool) -> pa.RecordBatch:
-    g, at, n = np.unique(gram, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ctx[at].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(g), context))], ["gram", "ctx", "n", "context"])
 
+def _dense(cols: list[np.ndarray]) -> np.ndarray:
+    """The rows' places among the distinct rows."""
+    if len(cols) == 1:
+        return np.unique(cols[0], return_inverse=True)[1]
+    out = np.unique(cols[0].astype(np.uint64) << np.uint64(32) | cols[1].astype(np.uint64), return_inverse=True)[1]
+    for c in cols[2:]:
+        out = np.unique(out.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64), return_inverse=True)[1]
+    return out
 
-def _states(k: int, discount: float, min_gain: float):
-    """Rows by ctx: adds p, delta and log_g (log10), and whether the context passes and may grow."""
 
-    def solved(x: pa.Table) -> pa.RecordBatch:
-        ctx, n, n_ctx, base = (x.column(c).to_numpy() for c in ("ctx", "n", "n_ctx", "base"))
-        start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ctx))))
-        own = (n - discount) / n_ctx
-        g = 1 - np.add.reduceat(own, start)
-        p = own + g[of] * base
-        log_g = np.log(np.maximum(g, 1e-300))
-        gain = np.add.reduceat(p * np.log(p / base), start) + np.maximum(1 - np.add.reduceat(base, start), 0) * g * log_g
-        room = np.add.reduceat((n - discount) * -np.log(np.minimum(p, 1.0)), start)
-        passes = gain * n_ctx[start] >= min_gain
-        cols = [x.column(c).combine_chunks() for c in ("gram", "ctx", "sctx", "sgram", "n", "n_ctx")]
-        cols += [pa.array(c) for c in (p, (np.log(p / base) - log_g[of]) / np.log(10), log_g[of] / np.log(10), passes[of], ((room >= min_gain) & (passes | (k < 2)))[of])]
-        return pa.RecordBatch.from_arrays(cols, _LEVEL)
+def _judge(level: int, min_gain: float):
+    """Sums the blocks' counts, judges the contexts and answers; the parts of contexts that are spread go out as rows -2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ctx = batch.column("ctx").to_numpy()
-            cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on
-            if cut or (held and held[0].column("ctx")[-1].as_py() != ctx[-1]):
-                whole = [*held, batch.slice(0, cut)]
-                held = []
-                yield solved(pa.Table.from_batches(whole))
-            held.append(batch.slice(cut))
-        if held:
-            yield solved(pa.Table.from_batches(held))
+        for part, held in _parts_of(batches):
+            whole = [np.concatenate([x[i] for _, x in held]) for i in range(level + 7)]
+            cols, (ones, runs, spread, word, count, log_q, _) = whole[:level], whole[level:]
+            ctx = _dense(cols)
+            size = int(ctx.max()) + 1
+            first = np.empty(size, np.int64)
+            first[ctx] = np.arange(len(ctx))
+            of = np.repeat(ctx, runs)
+            entry, of_entry = np.unique(of.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_inverse=True)
+            n = np.bincount(of_entry, count.astype(np.float64), len(entry)).astype(np.int64)
+            q = np.ones(len(entry))
+            q[of_entry] = np.exp(-log_q / 1000.0)
+            of_n = (entry >> np.uint64(32)).astype(np.int64)
+            single = np.bincount(ctx, ones.astype(np.float64), size).astype(np.int64)
+            c = np.bincount(of_n, n.astype(np.float64), size).astype(np.int64)
+            b = np.bincount(of_n, n >= 1, size).astype(np.int64) + single
+            gain, kept, loose = _judged(n, q, of_n, single, c, b)
+            retained = (gain >= min_gain) & _occurs_twice(c, b)
+            grows = np.where(retained, kept, loose if level == 1 else 0.0) >= min_gain
+            flags = np.where(retained, _RETAINED, 0) | np.where(grows, _GROWS, 0)
+            many = spread[first] > 0
+            flags[many] = _SPREAD
+            for i in np.flatnonzero(many).tolist():
+                e = slice(*np.searchsorted(of_n, [i, i + 1]))
+                yield _row(_SHIP, -2, part, pack(n[e], q[e], single[i : i + 1]), int(_hash([x[first[i] : first[i] + 1] for x in cols]).view(np.int64)[0]))
+            tell = (flags & _RETAINED) > 0
+            at = at_entry = 0
+            for block, x in held:
+                here, asked = ctx[at : at + len(x[0])], of_entry[at_entry : at_entry + len(x[level + 3])]
+                at, at_entry = at + len(here), at_entry + len(asked)
+                yield _row(_SHIP, block, part, pack(flags[here], np.where(tell, c, 0)[here], np.where(tell, b, 0)[here], n[asked]))
 
     return run
 
 
-_LEVEL = ["gram", "ctx", "sctx", "sgram", "n", "n_ctx", "p", "delta", "log_g", "passes", "grows"]
-_LEVEL_SCHEMA = "gram long, ctx long, sctx long, sgram long, n long, n_ctx long, p double, delta double, log_g double, passes boolean, grows boolean"
+def _spread_contexts(rows: DataFrame, level: int, min_gain: float) -> dict[int, tuple[int, int, int]]:
+    """{hash: (flags, c, b)} of the contexts that were spread; one for each half partition's share of all occurrences at most."""
+    if rows.isEmpty():
+        return {}
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [unpack(x) for x in batch.column("payload").to_pylist()]
+            c = [int(n.sum()) for n, _, _ in got]
+            b = [int((n >= 1).sum() + one[0]) for n, _, one in got]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(c, pa.int64()), pa.array(b, pa.int64())], ["a", "c", "b"])
 
-def _key(gram: np.ndarray, level: int, entry: bool) -> np.ndarray:
-    return ta.mix(gram ^ ta.mix(np.full(1, 2 * level + entry + 1, np.uint64)))
+    def agg(f, schema: str):
+        names = schema.replace(" long", "").replace(" double", "").split(", ")
+        return {r["a"]: tuple(r[x] for x in names[1:]) for r in rows.select("a", "payload").mapInArrow(f, schema).groupBy("a").agg(*(F.sum(x).alias(x) for x in names[1:])).collect()}
 
+    total = agg(sums, "a long, c long, b long")
 
-def _keyed(level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, entry = batch.column("gram").to_numpy().view(np.uint64), batch.column("entry").to_numpy(zero_copy_only=False)
-            key = np.where(entry, _key(gram, level, True), _key(gram, level, False))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n"), batch.column("value")], ["key", "n", "value"])
-
-    return run
+            for a, x in zip(batch.column("a").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                n, q, one = unpack(x)
+                c, b = (np.array([v], np.int64) for v in total[a])
+                got = _judged(n, q, np.zeros(len(n), np.int64), one, c, b)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), *(pa.array(v.astype(np.float64)) for v in got)], ["a", "gain", "kept", "loose"])
+
+    out = {}
+    for a, (gain, kept, loose) in agg(gains, "a long, gain double, kept double, loose double").items():
+        retained = gain >= min_gain
+        out[a] = ((_RETAINED if retained else 0) | (_GROWS if (kept if retained else loose if level == 1 else 0.0) >= min_gain else 0), *total[a])
+    return out
 
 
-def grow(docs: DataFrame, words: DataFrame, total: int, distinct: int, discount: float = 0.5, min_gain: float = 6.0) -> tuple[int, DataFrame | None]:
-    """(depth, (key, n, value) of all retained states and their entries)."""
-    texts = docs.select("doc_id", "text")
-    before = words.filter(F.col("n") >= LEAST).select(F.col("key").alias("gram"), "n", ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"), F.lit(True).alias("grows"))
-    levels: list[DataFrame] = []
-    while True:
-        k = len(levels) + 1
-        lengthened = before.filter("grows")
-        n = lengthened.count()
-        if not n:
-            break
-        roots = build_bloom(lengthened.select("ctx").distinct(), "ctx", n) if k > 1 else None
-        known = build_bloom(before, "gram", before.count()) if k <= 2 else None  # all words and pairs are counted; of longer runs not all
-        counted = texts.mapInArrow(_count_level(k, build_bloom(lengthened, "gram", n), roots, known), "gram long, ctx long, n long, context boolean").groupBy("gram", "context").agg(F.first("ctx").alias("ctx"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-        counted = counted if k <= 2 else written(counted, "grams")
-        if k == 1:
-            contexts = words.select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("sctx"), F.col("n").alias("n_ctx"))
-        elif k == 2:
-            contexts = before.select(F.col("gram").alias("ctx"), F.col("sgram").alias("sctx"), F.col("n").alias("n_ctx"))
-        else:
-            contexts = counted.filter("context").select(F.col("gram").alias("ctx"), F.col("ctx").alias("sctx"), F.col("n").alias("n_ctx"))
-        rows = counted.filter("not context").select("gram", "ctx", "n").join(contexts, "ctx")
-        rows = rows.withColumn("sgram", F.col("gram").bitwiseXOR(_turned("ctx")).bitwiseXOR(_turned("sctx")))
-        rows = rows.join(lengthened.select(F.col("gram").alias("sgram"), F.col("p").alias("base")), "sgram")
-        before = written(rows.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(_states(k, discount, min_gain), _LEVEL_SCHEMA), "level")
-        levels.append(before)
-    needed, parts = None, []
-    for k, level in reversed([*enumerate(levels, 1)]):
-        if needed is not None:
-            level = level.join(needed, "ctx", "left").withColumn("passes", F.col("passes") | F.col("longer").isNotNull())
-        kept = level.filter("passes")
-        states = kept.groupBy("ctx").agg(F.first("sctx").alias("sctx"), F.first("n_ctx").alias("n"), F.first("log_g").alias("value"))
-        states = written(states, "states")
-        parts.append(kept.select("gram", "n", F.col("delta").alias("value"), F.lit(True).alias("entry")).union(states.select(F.col("ctx").alias("gram"), "n", "value", F.lit(False))).mapInArrow(_keyed(k), "key long, n long, value double"))
-        needed = states.select(F.col("sctx").alias("ctx"), F.lit(True).alias("longer")).distinct()
-    out = None
-    for x in parts:
-        out = x if out is None else out.union(x)
-    return len(levels), out
-
-
-def _score(symbols: Symbols, total: int, distinct: int, depth: int, keys: np.ndarray, values: np.ndarray, others: np.ndarray | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, counts = TaskContext.get().partitionId() << 33, 0, symbols.counts
-        log_hot = np.append(np.log10((counts + 1) / (total + distinct + 1)), 0.0)
-        worth = np.append(values, 0.0)
-        for batch in batches:
-            held = _held_out(batch)
-            for a, b, tokens, first in _tokens(batch):
-                ids = symbols.ids(tokens)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(b - a), n)
-                place, grams = _grams(tokens, first, depth + 1)
-                more = np.zeros(len(tokens))
-                asked = [(doc[ids < 0], tokens[ids < 0], False)]
-                for k in range(1, depth + 1):
-                    at = np.flatnonzero(place >= k)
-                    for key in (_key(grams[k][at - 1], k, False), _key(grams[k + 1][at], k, True)):
-                        found = _find(keys, key)
-                        more[at] += worth[found]
-                        if others is not None:
-                            ask = np.flatnonzero(found < 0)
-                            ask = ask[bloom_has(others, key[ask])]
-                            asked.append((doc[at[ask]], key[ask], True))
-                hot = np.add.reduceat((ids >= 0).astype(np.int64), first[:-1])
-                base, more = np.add.reduceat(log_hot[ids], first[:-1]), np.add.reduceat(more, first[:-1])
-                name = np.arange(part + row, part + row + b - a)
-                row += b - a
-                ids_of = batch.column("doc_id").slice(a, b - a)
-                none = lambda kind, k: pa.nulls(k, kind)
-                yield _rows(name, ids_of, pa.array(held[a:b]), n, hot, base, more, none(pa.int64(), b - a), none(pa.int64(), b - a), none(pa.bool_(), b - a))
-                for of, word, gram in asked:
-                    if not len(of):
-                        continue
-                    order = np.lexsort((word, of))
-                    of, word = of[order], word[order]
-                    start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1])]))
-                    times = np.diff(np.append(start, len(of)))
-                    k = len(start)
-                    zero, none_f = np.zeros(k, np.int64), np.zeros(k)
-                    yield _rows(name[of[start]], none(ids_of.type, k), none(pa.bool_(), k), zero, zero, none_f, none_f, pa.array(word[start].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.full(k, gram)))
+class Block:
+    """A block's tokens and, level by level, the places whose contexts are still looked at.
+
+    Of a place: pos, ctx (its context among the block's), q (the probability so far), known (whether it counts as
+    none here, having occurred less than twice before). Of a context: cols (its words' ids, the last word first) and most (occurrences it has at most).
+    """
+
+    def __init__(self, docs: int, names: np.ndarray, local: np.ndarray, n: np.ndarray, held: np.ndarray, count: np.ndarray, ids: np.ndarray):
+        """Of ``docs`` documents those in ``names``; ids ascend."""
+        self.docs, self.names, self.token, self.n, self.held, self.count, self.ids = docs, names, local, n, held, count, ids
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(local)) - np.repeat(np.cumsum(n) - n, n)
+        self.train = np.repeat(held == 0, n)
+        self.level = 1
+
+    @classmethod
+    def whole(cls, body: bytes, answers: list[tuple[int, list[np.ndarray]]]) -> Block:
+        local, n, held = unpack(body)
+        answers = sorted(answers, key=lambda x: x[0])
+        count, ids = (np.concatenate([x[i] for _, x in answers]) for i in range(2))
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        return cls(len(n), np.arange(len(n)), rank[local], n, held, count[order], ids[order])
+
+    def start(self, total: int, distinct: int) -> None:
+        self.p0 = (self.count + 1) / (total + distinct + 1)
+        pos = np.flatnonzero(self.place >= 1)
+        pos = pos[self.count[self.token[pos - 1]] >= 2]
+        words, self.ctx = _numbered(self.token[pos - 1], len(self.ids))
+        self.pos, self.q, self.cols, self.most = pos, self.p0[self.token[pos]], [self.ids[words]], self.count[words]
+        self.known = self.count[self.token[pos]] < 2
+
+    def _places(self, pos: np.ndarray) -> list[np.ndarray]:
+        return [np.diff(pos, prepend=0), self.ctx, self.known.astype(np.uint8), self.q.astype(np.float32).view(np.uint32), self.most, *self.cols]
+
+    def _placed(self, step: np.ndarray, ctx: np.ndarray, known: np.ndarray, q: np.ndarray, most: np.ndarray, *cols: np.ndarray) -> Block:
+        self.pos, self.ctx, self.known, self.most, self.cols = np.cumsum(step), ctx, known > 0, most, list(cols)
+        self.q, self.level = q.astype(np.uint32).view(np.float32).astype(np.float64), len(cols)
+        return self
+
+    def places(self) -> bytes:
+        return pack(*self._places(self.pos))
+
+    def state(self) -> bytes:
+        """The places and the documents that have some."""
+        names, _ = _numbered(self.doc[self.pos], len(self.n))
+        has = np.zeros(len(self.n), bool)
+        has[names] = True
+        use = np.repeat(has, self.n)
+        words, local = _numbered(self.token[use], len(self.ids))
+        return pack(np.array([self.docs]), self.names[names], local, self.n[names], self.held[names], self.count[words], self.ids[words], *self._places((np.cumsum(use) - 1)[self.pos]))
+
+    @classmethod
+    def resumed(cls, blob: bytes) -> Block:
+        docs, *parts = unpack(blob)
+        return cls(int(docs[0]), *parts[:6])._placed(*parts[6:])
+
+    def _entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries as context and token, their places' entries, places that ask) in order."""
+        ask = np.flatnonzero(~self.known)
+        key, of = np.unique(self.ctx[ask] * len(self.ids) + self.token[self.pos[ask]], return_inverse=True)
+        return key, of, ask
+
+    def _dealt(self, block: int, key: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entry's part, records as part and context, the record that tells each context's flags, how many parts)."""
+        size = len(self.most)
+        times = -(-self.most // share)
+        base = (_hash(self.cols) % np.uint64(self.parts)).astype(np.int64)
+        of = key // len(self.ids)
+        part, home = base[of], base * size + np.arange(size)
+        if (times > 1).any():
+            home = ((base + block % times) % self.parts) * size + np.arange(size)
+            many = np.flatnonzero(times[of] > 1)
+            word = ta.mix(self.ids[key[many] % len(self.ids)].astype(np.uint64))
+            part[many] = (part[many] + (word % times[of[many]].astype(np.uint64)).astype(np.int64)) % self.parts
+            records = np.unique(np.concatenate([home, part[many] * size + of[many]]))
+            return part, records, np.searchsorted(records, home), times
+        order = np.argsort(_narrow(base), kind="stable")
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        return part, home[order], place, times
+
+    def ship(self, block: int, parts: int, share: int) -> Iterator[pa.RecordBatch]:
+        self.parts, size = parts, len(self.most)
+        key, of, ask = self._entries()
+        part, records, home, times = self._dealt(block, key, share)
+        count = np.bincount(of, self.train[self.pos[ask]], len(key)).astype(np.int64)
+        log_q = np.zeros(len(key), np.int64)
+        log_q[of] = np.rint(-1000 * np.log(self.q[ask])).astype(np.int64)
+        ones = np.zeros(len(records), np.int64)
+        ones[home] = np.bincount(self.ctx, self.known & self.train[self.pos], size).astype(np.int64)
+        ctx = records % size
+        order = np.argsort(_narrow(part), kind="stable")
+        of_key = key // len(self.ids)
+        record = home[of_key]
+        many = np.flatnonzero(times[of_key] > 1)
+        record[many] = np.searchsorted(records, part[many] * size + of_key[many])
+        runs = np.bincount(record, minlength=len(records))
+        word = self.ids[key % len(self.ids)]
+        cut, cut_entry = np.searchsorted(records // size, np.arange(self.parts + 1)), np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            r, e = slice(cut[p], cut[p + 1]), order[cut_entry[p] : cut_entry[p + 1]]
+            c = ctx[r]
+            yield _row(_SHIP, block, p, pack(*(x[c] for x in self.cols), ones[r], runs[r], (times[c] > 1).astype(np.uint8), word[e], count[e], log_q[e], np.zeros(0, np.int64)))
+
+    def apply(self, block: int, parts: int, answers: list[tuple[int, list[np.ndarray]]], share: int, spread: dict[int, tuple[int, int, int]]) -> np.ndarray:
+        """Takes the answers of this level in and goes to the next; log10 of the change of each document's probability."""
+        self.parts = parts
+        key, of, ask = self._entries()
+        part, records, home, _ = self._dealt(block, key, share)
+        answers = sorted(answers, key=lambda x: x[0])
+        flags, c, b = (np.concatenate([x[i] for _, x in answers])[home].astype(np.int64) for i in range(3))
+        hot = np.flatnonzero(flags & _SPREAD)
+        for i, h in zip(hot.tolist(), _hash([x[hot] for x in self.cols]).view(np.int64).tolist(), strict=True):
+            flags[i], c[i], b[i] = spread[h]
+        n_entry = np.empty(len(key), np.int64)
+        n_entry[np.argsort(_narrow(part), kind="stable")] = np.concatenate([x[3] for _, x in answers])
+        n = np.zeros(len(self.pos), np.int64)
+        n[ask] = n_entry[of]
+        use = np.flatnonzero((flags[self.ctx] & _RETAINED) > 0)
+        at = self.ctx[use]
+        new = (n[use] + b[at] * self.q[use]) / (c[at] + b[at])
+        more = np.bincount(self.names[self.doc[self.pos[use]]], np.log10(new / self.q[use]), self.docs)
+        self.q[use] = new
+        # the next level: a word more, where the context grows and may have occurred twice
+        seen = np.full(len(self.token), -1, np.int64)
+        seen[self.pos] = n
+        go = np.flatnonzero(((flags & _GROWS) > 0)[self.ctx] & (self.place[self.pos] > self.level))
+        pos = self.pos[go]
+        before = seen[pos - 1]
+        fine = (self.count[self.token[pos - self.level - 1]] >= 2) & ((before < 0) | (before >= 2))
+        go, pos, before = go[fine], pos[fine], before[fine]
+        longer, ctx = np.unique(self.ctx[go] * len(self.ids) + self.token[pos - self.level - 1], return_inverse=True)
+        old = longer // len(self.ids)
+        most = self.most[old]
+        most[ctx] = np.where(before >= 0, before, most[ctx])
+        self.cols = [*(x[old] for x in self.cols), self.ids[longer % len(self.ids)]]
+        self.known = n[go] < 2
+        self.pos, self.ctx, self.q, self.most, self.level = pos, ctx, self.q[go], most, self.level + 1
+        return more
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(block, [(kind, part, payload)]) of rows sorted by block, kind and part."""
+    block, held = None, []
+    for batch in batches:
+        for b, *x in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "payload")), strict=True):
+            if block is not None and b != block:
+                yield block, held
+                held = []
+            block = b
+            held.append(tuple(x))
+    if held:
+        yield block, held
 
-    return run
 
+def _walk(level: int, parts: int, total: int, distinct: int, share: int, spread: list[dict[int, tuple[int, int, int]]]):
+    """Replays what the answers say and sends what is to be counted at ``level``; kinds of rows: -1 the block, 0 its words, k the
+    answers of level k, _STATE_BEFORE the places before the answers of level - 1 (at level 4) or the state (later, instead of the
+    block). Of documents it tells the change by level - 1."""
 
-def _rows(name, doc_id, held, n, hot, base, more, word, times, gram) -> pa.RecordBatch:
-    cols = [pa.array(name), doc_id, held, pa.array(n.astype(np.int64)), pa.array(hot), pa.array(base), pa.array(more), word, times, gram]
-    return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "hot", "base", "more", "word", "times", "gram"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks_of(batches):
+            own = {kind: payload for kind, _, payload in rows if kind in (_BLOCK, _STATE_BEFORE)}
+            answers: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+            for kind, part, payload in rows:
+                if kind not in own:
+                    answers.setdefault(kind, []).append((part, unpack(payload)))
+            if level > 4:
+                x = Block.resumed(own[_STATE_BEFORE])
+            elif level == 4 and _STATE_BEFORE not in own:
+                continue
+            else:
+                x = Block.whole(own[_BLOCK], answers[0])
+                x._placed(*unpack(own[_STATE_BEFORE])) if level == 4 else x.start(total, distinct)
+            if level == 1:
+                known = np.bincount(x.doc, x.count[x.token] > 0, x.docs).astype(np.int64)
+                base = np.bincount(x.doc, np.log10(x.p0)[x.token], x.docs)
+                yield _row(_MORE, block, -1, pack(x.n, known, x.held, base))
+            for k in range(x.level, level):
+                if not len(x.pos):
+                    break
+                more = x.apply(block, parts, answers[k], share, spread[k])
+                if k == level - 1:
+                    yield _row(_MORE, block, k, pack(more))
+            if len(x.pos):
+                yield from x.ship(block, parts, share)
+                if level >= 3:
+                    yield _row(_STATE, block, 0, x.state() if level > 3 else x.places())
 
+    return run
 
-def train(docs: DataFrame, p_min: float = 1e-6, discount: float = 0.5, min_gain: float = 6.0) -> tuple[Tree, DataFrame]:
-    """(the tree, (key, n) of all training words)."""
-    if p_min < 2.0**-20:
-        raise ValueError("p_min must be 2**-20 or more; symbols have ids of 21 bits")
-    texts = docs.select("doc_id", "text")
-    words = written(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(p_min * total))
 
-    def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.filter(F.col("n") >= least).toPandas()  # 1 / p_min rows at most
-        order = np.argsort(got["key"].to_numpy())
-        return got["key"].to_numpy()[order].astype(np.int64), got["n"].to_numpy()[order].astype(np.int64)
+def _summed(id_type: pa.DataType, total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(ids: pa.Array, blobs: list[bytes]) -> pa.RecordBatch:
+            n, known, held, base = unpack(blobs[0])
+            score = base.copy()
+            for x in blobs[1:]:
+                score += unpack(x)[0]
+            cols = [ids, pa.array(held > 0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        block, ids, blobs = None, None, []
+        for batch in batches:
+            for i, (b, payload) in enumerate(zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True)):
+                if b != block:
+                    if blobs:
+                        yield out(ids, blobs)
+                    block, ids, blobs = b, batch.column("ids")[i].values, []
+                else:
+                    blobs.append(payload)
+        if blobs:
+            yield out(ids, blobs)
 
-    keys, counts = frequent(words)
-    symbols = Symbols(keys.view(np.uint64), counts)
-    summed = lambda f: texts.mapInArrow(f, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = frequent(summed(_count_pairs(symbols)))
-    triples = frequent(summed(_count_triples(symbols, pairs[0])))
-    return Tree(symbols, total, distinct, pairs, triples, discount, min_gain), words
+    return run
 
 
-def score(docs: DataFrame, p_min: float = 1e-6, discount: float = 0.5, min_gain: float = 6.0) -> DataFrame:
+def score(docs: DataFrame, min_gain: float = 6.0, block_tokens: int = BLOCK_TOKENS, parts: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    words = written(docs.select("doc_id", "text").mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    most = int(1 / p_min)
-    hot_words = words.filter(F.col("n") >= max(LEAST, math.ceil(p_min * total))).toArrow()  # 1 / p_min rows at most
-    symbols = Symbols(hot_words["key"].to_numpy().view(np.uint64), hot_words["n"].to_numpy())
-    depth, tree = grow(docs, words, total, distinct, discount, min_gain)
-    keys, values, others, rest = np.zeros(0, np.uint64), np.zeros(0), None, None
-    if tree is not None:
-        tree = written(tree, "tree")
-        least = LEAST
-        while tree.filter(F.col("n") >= least).count() > most:
-            least *= 2
-        hot = tree.filter(F.col("n") >= least).select("key", "value").toArrow()
-        keys = hot["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, values = keys[order], hot["value"].to_numpy()[order]
-        rest = tree.filter(F.col("n") < least)
-        left = rest.count()
-        others = build_bloom(rest, "key", left) if left else None
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, hot long, base double, more double, word long, times long, gram boolean"
-    scored = written(docs.select("doc_id", "text").mapInArrow(_score(symbols, total, distinct, depth, keys, values, others), schema), "token-scores")
-    known = scored.filter("not gram").select("row", "word", "times").join(words.select(F.col("key").alias("word"), "n"), "word", "left")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    rare = known.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * log_p).alias("rare_base"))
-    out = scored.filter("word is null").join(rare, "row", "left")
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    if others is not None:
-        asked = scored.filter("gram").select("row", "word", "times").join(rest.select(F.col("key").alias("word"), "value"), "word")
-        out = out.join(asked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("asked")), "row", "left").withColumn("more", F.col("more") + F.coalesce("asked", F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hot") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
+    spark = docs.sparkSession
+    id_type = docs.schema["doc_id"].dataType
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or tasks
+
+    def exchanged(rows: DataFrame, f, name: str) -> DataFrame:
+        dealt = rows.filter(F.col("kind") == _SHIP).select(*_NAMES).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block")
+        return written(dealt.mapInArrow(f, _ROW), name, "none", batch=16, sweep=True)
+
+    sent = written(docs.select("doc_id", "text").mapInArrow(_blocks(block_tokens, parts, to_arrow_type(id_type)), f"{_ROW}, ids array<{id_type.simpleString()}>"), "blocks-and-words", "none", batch=2048)
+    answers = [exchanged(sent, _count_words(parts), "word-counts")]
+    blocks = written(sent.filter(F.col("kind") == _BLOCK).select("block", "kind", "part", "payload", "ids"), "token-blocks", "none")
+    unwritten(sent)
+    total, distinct = (x or 0 for x in answers[0].filter("block = -1").agg(F.sum("a"), F.sum("b")).first())
+    share = max(1, total // (2 * parts))
+    spread: list[dict[int, tuple[int, int, int]]] = [{}]
+    own, count = blocks.select("block", "kind", "part", "payload"), blocks.count()
+    told, made, level, state = [], [], 1, None
+    while True:
+        rows = own if level < 5 else None
+        if state is not None:
+            before = state.select("block", F.lit(_STATE_BEFORE).alias("kind"), "part", "payload")
+            rows = before if rows is None else rows.union(before)
+        for k, x in enumerate(answers):
+            if level <= 3 or k == level - 1 or (level == 4 and k == 0):
+                rows = rows.union(x.filter("block >= 0").select("block", F.lit(k).alias("kind"), "part", "payload"))
+        met = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind", "part")
+        out = written(met.mapInArrow(_walk(level, parts, total, distinct, share, spread), _ROW), f"level-{level}", "none", batch=16, sweep=True)
+        told.append(written(out.filter(F.col("kind") == _MORE), "changes", "none", batch=16, rows=count, each=64))
+        if out.filter(F.col("kind") == _SHIP).isEmpty():
+            break
+        answers.append(exchanged(out, _judge(level, min_gain), f"answers-{level}"))
+        spread.append(_spread_contexts(answers[-1].filter("block = -2"), level, min_gain))
+        if state is not None:
+            unwritten(made.pop(0))
+        if level >= 3:
+            state = out.filter(F.col("kind") == _STATE)
+            made.append(out)
+            unwritten(*answers[1:level])
+        else:
+            unwritten(out)
+        level += 1
+    changes = told[0]
+    for x in told[1:]:
+        changes = changes.union(x)
+    texts = blocks.select("block", F.lit(-2).alias("part"), F.lit(None).cast("binary").alias("payload"), "ids")
+    rows = texts.union(changes.select("block", "part", "payload", F.lit(None).cast(f"array<{id_type.simpleString()}>")))
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    final = written(rows.repartition(tasks, "block").sortWithinPartitions("block", "part").mapInArrow(_summed(to_arrow_type(id_type), total), schema), "scores", batch=16)
+    unwritten(blocks, out, *made, *answers, *told)
+    return final
 
 
 def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,84 +245,102 @@ def test_shrinkage_against_brute_force(spark):
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
-def test_suffix_tree_scores(spark):
-    docs, rows = corpus(spark)
-    out = op5_suffix_tree.score(docs, p_min=1e-3).collect()
-    toks = [(i, words(t) + [None]) for i, t, *_ in rows]
+class PlainTree:
+    """The model of op5 on dictionaries: counts of all runs of words, contexts judged level by level."""
+
+    def __init__(self, docs, min_gain=6.0):
+        self.toks = [words(t) + [None] for _, t in docs]
+        train = [t for (i, _), t in zip(docs, self.toks) if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+        self.c = collections.Counter(w for t in train for w in t)
+        self.total, self.v = sum(self.c.values()), len(self.c)
+        self.after, self.states, grows, level = {}, {}, {()}, 0
+        while grows:
+            level += 1
+            after = collections.defaultdict(collections.Counter)
+            for t in train:
+                for i in range(level, len(t)):
+                    s = tuple(t[i - level : i])
+                    if s[1:] in grows:
+                        after[s][t[i]] += 1
+            grows = set()
+            before = self.after or {(): self.c}
+            self.after = after
+            for s, whole in after.items():
+                e = {w: n for w, n in whole.items() if before[s[1:]][w] >= 2}
+                c, b, ones = sum(e.values()), len(whole), len(whole) - len(e)
+                if c + ones < 2:
+                    continue
+                q = {w: math.exp(-round(-1000 * math.log(self.p(s[1:], w))) / 1000) for w in e}
+                loo = lambda w: (e[w] - 1 + (b - (e[w] == 1)) * q[w]) / (c - 1 + b - (e[w] == 1))
+                if sum(n * math.log(loo(w) / q[w]) for w, n in e.items()) + (ones and ones * math.log((b - 1) / (c + b - 1))) >= min_gain:
+                    self.states[s] = collections.Counter(e), b
+                    q = {w: (n + b * q[w]) / (c + b) for w, n in e.items()}
+                if sum(-n * math.log(q[w]) for w, n in e.items() if n >= 2) >= min_gain and (level == 1 or s in self.states):
+                    grows.add(s)
+
+    def p(self, s, w):
+        while s and s not in self.states:
+            s = s[1:]
+        if not s:
+            return (self.c[w] + 1) / (self.total + self.v + 1)
+        e, b = self.states[s]
+        return (e[w] + b * self.p(s[1:], w)) / (sum(e.values()) + b)
+
+    def score(self, t):
+        return sum(math.log10(self.p(tuple(t[:i]), t[i])) for i in range(len(t)))
+
+
+def check_scores(docs, rows, tree, **options):
+    got = op5_suffix_tree.score(docs, **options).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c = collections.Counter(w for i, t in toks if not held(i) for w in t)
-    n, v = sum(c.values()), len(c)
-    expect = sorted((str(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in toks)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == expect
-    assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score <= 0 for r in out)
-    assert op5_suffix_tree.score(docs.limit(0)).count() == 0
+    base = lambda t: sum(math.log10((tree.c[w] + 1) / (tree.total + tree.v + 1)) for w in t)
+    expect = sorted((str(i), len(t), base(t), held(i), sum(tree.c[w] > 0 for w in t), tree.total, tree.score(t)) for (i, _), t in zip(rows, tree.toks))
+    got = sorted((str(r.doc_id), r.n_tokens, r.base_score, r.held_out, r.n_known, r.train_tokens, r.score) for r in got)
+    assert len(got) == len(expect)
+    for x, y in zip(got, expect):
+        assert x[:2] == y[:2] and x[3:6] == y[3:6] and x[2] == pytest.approx(y[2], abs=1e-7) and x[6] == pytest.approx(y[6], abs=2e-3 + 1e-3 * len(y)), (x, y)
 
 
-def test_suffix_tree_distributions_sum_to_one(spark):
+@pytest.mark.parametrize("options", [{}, {"block_tokens": 700, "parts": 3}, {"block_tokens": 1500, "parts": 9}])
+def test_suffix_tree_scores(spark, options):
+    """Nulls, empties, repeats, a long text; small blocks and many partitions (contexts are spread) give the same scores."""
     docs, rows = corpus(spark)
-    tree, counts = op5_suffix_tree.train(docs, p_min=1e-3, min_gain=1.0)
-    known = np.sort(np.array([r.key for r in counts.collect()], np.int64).view(np.uint64))
-    p0 = {int(k): (c + 1) / (tree.total + tree.distinct + 1) for k, c in ((np.array([r.key]).view(np.uint64)[0], r.n) for r in counts.collect())}
-    assert tree.state1.any() and tree.state2.any()
-    h = tree.symbols.hashes
-    contexts = [[h[i]] for i in np.flatnonzero(tree.state1)[:3]]
-    for i in np.flatnonzero(tree.state2)[:3]:
-        k = int(tree.pairs[i])
-        contexts.append([h[k >> int(op5_suffix_tree.SHIFT)], h[k & ((1 << int(op5_suffix_tree.SHIFT)) - 1)]])
-    for ctx in contexts:
-        total = 1 / (tree.total + tree.distinct + 1)  # the unknown symbol, by the mass that backs off
-        ids = tree.symbols.ids(np.array([*ctx, np.uint64(12345)], np.uint64))
-        total *= 10 ** tree.corrections(ids, np.array([0, len(ids)]))[-1]
-        for w in known:
-            ids = tree.symbols.ids(np.array([*ctx, w], np.uint64))
-            total += p0[int(w)] * 10 ** tree.corrections(ids, np.array([0, len(ids)]))[-1]
-        assert total == pytest.approx(1, abs=1e-9)
-
-
-def test_suffix_tree_of_any_depth_against_plain_python(spark):
-    """What is broadcast (p_min) changes no score; rare contexts and long ones count."""
+    rows = [r[:2] for r in rows]
+    tree = PlainTree(rows)
+    assert max(map(len, tree.states)) >= 2
+    check_scores(docs, rows, tree, **options)
+    assert op5_suffix_tree.score(docs.limit(0)).count() == 0
+
+
+def test_suffix_tree_of_any_depth(spark):
+    """Four symbols back decide on the next; three texts that occur twice; a word that two thirds of all tokens are."""
     r = random.Random(2)
     rows = []
     for i in range(300):
         bits = [r.randrange(2) for _ in range(4)]
-        rows.append((i, " ".join(f"{'pqrs'[k]}{x}" for k, x in enumerate(bits)) + f" w{''.join(map(str, bits))} " + " ".join(r.choice("klm") for _ in range(6))))
+        rows.append((i, " ".join(f"{'pqrs'[k]}{x}" for k, x in enumerate(bits)) + f" w{''.join(map(str, bits))} " + " ".join(r.choice("klm") for _ in range(6)) + " the" * r.randrange(30)))
+    twice = [" ".join(f"u{r.randrange(10**6)}" for _ in range(40)) for _ in range(3)]
+    rows += [(400 + i, t) for i, t in enumerate(twice * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tree = PlainTree(rows)
+    assert max(map(len, tree.states)) >= 4
+    for options in ({}, {"block_tokens": 500, "parts": 7}):
+        check_scores(docs, rows, tree, **options)
+    for s in list(tree.states)[:60]:
+        assert sum(tree.p(s, w) for w in tree.c) + tree.p(s, "unknown") == pytest.approx(1, abs=1e-9)
+
+
+def test_words_with_equal_power_sums_are_told_apart(spark):
+    """The Thue-Morse word and its complement, which any power sum modulo 2**64 takes for one."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{w} one two three four five"), (3, f"{other} one two three four five"), (4, f"{w} x y z u {w} v"), (5, f"{other} x y z u {other} v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    toks = {i: words(t) + [None] for i, t in rows}
-    train = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = collections.Counter(tuple(t[i:j]) for t in train for i in range(len(t)) for j in range(i + 1, len(t) + 1))
-    total, v = sum(map(len, train)), len({w for t in train for w in t})
-    p = {g: (n + 1) / (total + v + 1) for g, n in c.items() if len(g) == 1}
-    g, grows, keep, level = {}, {()}, set(), 1
-    while grows:
-        nxt = collections.defaultdict(dict)
-        for e, n in c.items():
-            if len(e) == level + 1 and n >= 2 and e[1:-1] in grows and e[1:] in p:
-                nxt[e[:-1]][e[-1]] = n
-        grows = set()
-        for s, e in nxt.items():
-            g[s] = 1 - sum((n - 0.5) / c[s] for n in e.values())
-            q = {w: p[s[1:] + (w,)] for w in e}
-            p |= {s + (w,): (n - 0.5) / c[s] + g[s] * q[w] for w, n in e.items()}
-            gain = sum(p[s + (w,)] * math.log(p[s + (w,)] / q[w]) for w in e) + max(1 - sum(q.values()), 0) * g[s] * math.log(g[s])
-            passes = gain * c[s] >= 6
-            if passes:
-                keep |= {s[i:] for i in range(len(s))}
-            if sum((n - 0.5) * -math.log(p[s + (w,)]) for w, n in e.items()) >= 6 and (passes or len(s) < 2):
-                grows.add(s)
-        level += 1
-    assert max(map(len, keep)) >= 4
-
-    def log_p(t, i):
-        s = next((tuple(t[j:i]) for j in range(i) if tuple(t[j:i]) in keep), ())
-        out = 0.0
-        while s and s + (t[i],) not in p:
-            out, s = out + math.log10(g[s]), s[1:]
-        return out + math.log10(p.get(s + (t[i],), 1 / (total + v + 1)))
-
-    expect = {i: sum(log_p(t, k) for k in range(len(t))) for i, t in toks.items()}
-    for p_min in (1e-6, 0.1):
-        got = {x.doc_id: x.score for x in op5_suffix_tree.score(docs, p_min=p_min).collect()}
-        assert got == pytest.approx(expect, abs=1e-8)
+    got = {r.doc_id: r.component_id for r in op7_parity_join.near_duplicates(docs).collect()}
+    assert got == {1: 1, 3: 3, 4: 4, 5: 5}
+    check_scores(docs, rows, PlainTree(rows))
 
 
 # ---- 6 --------------------------------------------------------------------------------------------------------------
