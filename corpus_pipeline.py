@@ -3,6 +3,10 @@
 Each stage works on all rows that the one before kept, takes (spark, docs, sf_dir) and returns a DataFrame; between stages the
 rows are written as Parquet and read again. All but the last return the columns of ``documents``; a stage that changes text sets
 n_chars anew. Rows are dropped by name (doc_id and hash of the text), so rows that share a doc_id are judged each.
+
+Defined cases: null, empty and blank texts have no letters and go in the first stage; very long texts are taken whole; of equal rows,
+or rows equal but for other columns, one stays after the third stage; an empty table passes all stages as an empty table; columns
+beside doc_id, text, lang, source and n_chars are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,33 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import op3_decontamination, op4_language_id, op6_packing, op7_parity_join, op9_line_dedup
-from lattica.llm.common import checked_broadcast, keyed, written
-
-
-def _without(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``docs`` without the rows named by (_d, _t)."""
-    gone = checked_broadcast(written(names.distinct(), "dropped"))
-    return keyed(docs).join(gone, ["_d", "_t"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
+from lattica.llm.common import keyed, sheltered, unwritten, without, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can be told from text, declared language and source; texts without letters go."""
     model = op4_language_id.train(docs)
     none = F.lit(None).cast("string")
-    rows = keyed(docs).select("_d", "_t", "lang", "source", "text")
+    rows = keyed(docs.select("doc_id", "lang", "source", "text"))[0].drop("doc_id")
     told = op4_language_id.identify(rows, model, F.lower("lang"), none, none, F.col("source"))
-    return _without(docs, told.filter("language = 'und'").select("_d", "_t"))
+    return without(docs, written(told.filter("language = 'und'").select("_d", "_t").distinct(), "rejected"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that stay in a later document."""
-    out = op9_line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(f"`{c}`" for c in docs.columns))
+    inner, restored = sheltered(docs, "doc_id", "text", "n_chars")
+    out = op9_line_dedup.line_dedup(inner)
+    return restored(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
-    return _without(docs, op7_parity_join.later_copies(docs))
+    """One document of each group of near copies: that of the least doc_id, and of several rows with it one."""
+    return op7_parity_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, before, sf_dir), f"stage-{name}")
+        unwritten(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
