@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.session import shared_dir
@@ -50,6 +50,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = N
     return out
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers of this session get that many rows at once at most from now on: texts of some kilobytes, held by JVM and worker."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, rows)
+
+
 def unwritten(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:
@@ -144,13 +150,14 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+def sheltered(df: DataFrame, *used: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``df`` with all columns but the ``used`` ones renamed to u0__, u1__, ..., which no operator uses itself, and a function that
-    gives a result the columns of ``df`` again, in order, and then those named, lengthened by ``_`` where ``df`` has such a column."""
+    gives a result the columns of ``df`` again (those it has, in order) and then those named, lengthened by ``_`` where ``df`` has such
+    a column. ``more`` has columns of ``df`` to be computed besides."""
     inner = {c: c if c in used else f"u{i}__" for i, c in enumerate(df.columns)}
 
     def restored(out: DataFrame, *added: str) -> DataFrame:
         names = fresh(df.columns, *added)
-        return out.select(*(F.col(k).alias(c) for c, k in inner.items()), *(F.col(a).alias(n) for a, n in zip(added, names, strict=True)))
+        return out.select(*(F.col(k).alias(c) for c, k in inner.items() if k in out.columns), *(F.col(a).alias(n) for a, n in zip(added, names, strict=True)))
 
-    return df.select(*(F.col(f"`{c}`").alias(k) for c, k in inner.items())), restored
+    return df.select(*(F.col(f"`{c}`").alias(k) for c, k in inner.items()), *(v.alias(k) for k, v in (more or {}).items())), restored

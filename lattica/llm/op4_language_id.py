@@ -16,7 +16,8 @@ language reaches ``least`` of the posterior.
 
 Defined cases: null or blank texts are "und" with confidence 0; null declared values, suffixes and hosts are no evidence (a null
 host has the corpus's prior); equal rows get equal results; ties go to the language first in the alphabet; an empty table gives
-an empty result, and with no labelled rows everything is "und"; other columns are carried along by ``identify``.
+an empty result, and with no labelled rows everything is "und"; other columns, whatever their names, are carried along by
+``identify`` (a result named as one of them gets a ``_``).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, written
+from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, sheltered, written
 
 BUCKETS = 1 << 15
 #: Languages whose likelihoods are summed at once.
@@ -132,9 +133,11 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
     """``rows`` (with text) without the text, with language, confidence and text_language."""
     langs, n = model.languages, len(model.languages)
     if not n:
-        return rows.drop("text").withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "text_language": F.lit("und")})
-    kept = [c for c in rows.columns if c != "text"]
-    evidence = rows.select(*(f"`{c}`" for c in kept), declared.cast("string").alias("_declared"), suffix.cast("string").alias("_suffix"), domain.cast("string").alias("_domain"), host.cast("string").alias("_host"), "text")
+        inner, restored = sheltered(rows, "text")
+        return restored(inner.drop("text").withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "text_language": F.lit("und")}), "language", "confidence", "text_language")
+    said = {"_declared": declared, "_suffix": suffix, "_domain": domain, "_host": host}
+    evidence, restored = sheltered(rows, "text", more={k: v.cast("string") for k, v in said.items()})
+    kept = [c for c in evidence.columns if c != "text" and c not in said]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text"), "ll array<double>", "_p array<double>"])
     scored = evidence.mapInArrow(_likelihoods(model, temper), schema)
     scored = written(scored, "text-evidence")
@@ -177,7 +180,8 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
     known = F.col("ll").isNotNull()
     out = out.withColumn("confidence", F.when(known, confidence).otherwise(0.0))
     language = F.when(known & (F.col("confidence") >= least), at(F.col("_final"))).otherwise("und")
-    return out.select(*(f"`{c}`" for c in kept), language.alias("language"), "confidence", F.when(known, at(F.col("ll"))).otherwise("und").alias("text_language"))
+    out = out.select(*(f"`{c}`" for c in kept), language.alias("language"), "confidence", F.when(known, at(F.col("ll"))).otherwise("und").alias("text_language"))
+    return restored(out, "language", "confidence", "text_language")
 
 
 _HIDDEN = re.compile(r"<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
