@@ -12,7 +12,8 @@ One scan finds the candidates (``regexp_extract_all``), one cuts the text around
 DataFrame functions are used, nothing is shuffled, and texts without a digit, ``@`` or key prefix are not scanned.
 
 Defined cases: a null text stays null, an empty one empty; equal rows give equal results; texts of any length are scanned
-whole; a null doc_id and all other columns are carried along; an empty table gives an empty result.
+whole; a null doc_id and all other columns, whatever their names, are carried along (if one is pii_replaced, the
+result's column gets a ``_``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.common import sheltered
+
 ROUNDS = 8
 _AN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: kind: what a candidate looks like. The order is that of the alternation.
 #: A hexadecimal token comes before an IBAN, which may be all hexadecimal; ``pseudonym`` tries the IBAN's check first.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{16,}(?![A-Za-z0-9])",
@@ -200,13 +203,14 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and the number of replaced values in ``pii_replaced``."""
-    c = F.col(text)
-    scanned = docs.select("*", F.explode(F.array(F.when(c.rlike(MAYBE), F.regexp_extract_all(c, F.lit(ANY), F.lit(0))))).alias("_found"))
+    inner, restored = sheltered(docs, text)
+    c = F.col(f"`{text}`")
+    scanned = inner.select("*", F.explode(F.array(F.when(c.rlike(MAYBE), F.regexp_extract_all(c, F.lit(ANY), F.lit(0))))).alias("_found"))
     masked = scanned.select("*", F.explode(F.array(F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))).alias("_new"))
     joined = F.array_join(F.flatten(F.zip_with(F.split(c, ANY, -1), F.concat("_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
     out = masked.withColumn("pii_replaced", F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long"))
-    return out.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(c)).drop("_found", "_new")
+    return restored(out.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(c)), "pii_replaced")
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
