@@ -144,13 +144,14 @@ def _logit(c: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def pseudo_count(means: DataFrame, n: str, mean: str, center: float) -> float:
-    """Documents that the level above counts for, from the spread of the means of sites beyond their sampling error."""
-    r = means.agg(F.sum(F.col(n) * (F.col(mean) - center) ** 2).alias("ss"), F.sum(n).alias("n"), F.count("*").alias("k")).first()
-    if not r["n"] or r["k"] < 2:
+def pseudo_count(means: DataFrame, n: str, mean: str, above: Column, center: float, groups: int = 1) -> float:
+    """Documents that the level above counts for, from the spread of the means of sites around those ``above`` them (``groups`` of them),
+    beyond their sampling error."""
+    r = means.agg(F.sum(F.col(n) * (F.col(mean) - above) ** 2).alias("ss"), F.sum(n).alias("n"), F.count("*").alias("k")).first()
+    if not r["n"] or r["k"] <= groups:
         return 1e6
     noise = center * (1 - center)
-    between = max((r["ss"] - (r["k"] - 1) * noise) / r["n"], 1e-6)
+    between = max((r["ss"] - (r["k"] - groups) * noise) / r["n"], 1e-6)
     return max(noise / between - 1, 1.0)
 
 
@@ -163,11 +164,12 @@ def combine(scored: DataFrame, names: tuple[str, ...] = ("quality", "toxic")) ->
     hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), *(F.sum(f"ps_{c}").alias(f"hs_{c}") for c in names))
     sites = written(paths.join(hosts, "host"), "site-sums")
     total = sites.agg(F.coalesce(F.sum("pn"), F.lit(0)), *(F.coalesce(F.sum(f"ps_{c}"), F.lit(0.0)) for c in names)).first()
-    out = scored.join(checked_broadcast(sites), ["host", "path"])
+    out, n_hosts = scored.join(checked_broadcast(sites), ["host", "path"]), hosts.count()
     for i, c in enumerate(names):
         mean = total[1 + i] / total[0] if total[0] else 0.5
-        k_host = pseudo_count(sites.groupBy("host").agg(F.first("hn").alias("n"), F.first(F.col(f"hs_{c}") / F.col("hn")).alias("m")), "n", "m", mean)
-        k_path = pseudo_count(sites.select(F.col("pn").alias("n"), (F.col(f"ps_{c}") / F.col("pn")).alias("m")), "n", "m", mean)
+        k_host = pseudo_count(sites.groupBy("host").agg(F.first("hn").alias("n"), F.first(F.col(f"hs_{c}") / F.col("hn")).alias("m")), "n", "m", F.lit(float(mean)), mean)
+        within = sites.select(F.col("pn").alias("n"), (F.col(f"ps_{c}") / F.col("pn")).alias("m"), (F.col(f"hs_{c}") / F.col("hn")).alias("h"))
+        k_path = pseudo_count(within, "n", "m", F.col("h"), mean, n_hosts)
         own = F.col(f"p_{c}")
         host = (F.col(f"hs_{c}") - own + k_host * mean) / (F.col("hn") - 1 + k_host)
         path = (F.col(f"ps_{c}") - own + k_path * host) / (F.col("pn") - 1 + k_path)

@@ -30,7 +30,7 @@ def corpus(spark):
         for _ in range(r.choice([0, 0, 1, 2, 8])):
             w[r.randrange(len(w))] = r.choice(WORDS)
         rows.append((i, "\n".join([" ".join(w[:9]), " A line that many documents share \t", " ".join(w[9:])]) if r.random() < 0.5 else " ".join(w), "en", f"s{i % 3}", 1, "x"))
-    rows += [(70, None, None, None, None, None), (71, "", "en", "s0", 0, "y"), (72, " \t\n ", "fr", None, 3, "z"), (73, text(r, 4000), "en", "s1", 9, "t"), (None, "null id text", "en", "s1", 9, "t"), rows[0], rows[0], (5, "one", "en", "s0", 3, "u"), (74, "one", "en", "s0", 3, "u")]
+    rows += [rows[3][:5] + ("again",), (70, None, None, None, None, None), (71, "", "en", "s0", 0, "y"), (72, " \t\n ", "fr", None, 3, "z"), (73, text(r, 4000), "en", "s1", 9, "t"), (None, "null id text", "en", "s1", 9, "t"), rows[0], rows[0], (5, "one", "en", "s0", 3, "u"), (74, "one", "en", "s0", 3, "u")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, t string"), rows
 
 
@@ -225,17 +225,17 @@ def test_shrinkage_against_brute_force(spark):
     p = {x[0]: sig(x[3]) for x in rows}
     mean = sum(p.values()) / len(p)
 
-    def pseudo(groups):
+    def pseudo(groups, above, k):
         noise = mean * (1 - mean)
-        n = sum(map(len, groups))
-        ss = sum(len(g) * (np.mean(g) - mean) ** 2 for g in groups)
-        return max(noise / max((ss - (len(groups) - 1) * noise) / n, 1e-6) - 1, 1.0)
+        n = sum(map(len, groups.values()))
+        ss = sum(len(g) * (np.mean(g) - above(x)) ** 2 for x, g in groups.items())
+        return max(noise / max((ss - (len(groups) - k) * noise) / n, 1e-6) - 1, 1.0)
 
     hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
     for i, h, q, *_ in rows:
         hosts[h].append(p[i])
         paths[h, q].append(p[i])
-    kh, kp = pseudo(hosts.values()), pseudo(paths.values())
+    kh, kp = pseudo(hosts, lambda _: mean, 1), pseudo(paths, lambda x: np.mean(hosts[x[0]]), len(hosts))
     for i, h, q, lo, _ in rows:
         mh = (sum(hosts[h]) - p[i] + kh * mean) / (len(hosts[h]) - 1 + kh)
         mp = (sum(paths[h, q]) - p[i] + kp * mh) / (len(paths[h, q]) - 1 + kp)
@@ -417,7 +417,7 @@ def test_bin_completion(seed):
 # ---- 7 --------------------------------------------------------------------------------------------------------------
 
 
-def groups(rows):
+def groups(rows, one_of_each=False):
     sets = [(i, shingle_set(t)) for i, t, *_ in rows]
     root = list(range(len(sets)))
 
@@ -434,6 +434,8 @@ def groups(rows):
     least = collections.defaultdict(list)
     for k, (i, _) in enumerate(sets):
         least[find(k)].append(i)
+    if one_of_each:
+        return sorted(str(min((x for x in ids if x is not None), default=None)) for ids in least.values())
     out = []
     for k, (i, s) in enumerate(sets):
         ids = [x for x in least[find(k)] if x is not None]
@@ -531,6 +533,30 @@ def test_line_dedup(spark, partitions):
     assert op9_line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+# ---- clashing names ---
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    """Columns named as helpers or results of the operators keep their values."""
+    names = ["_d", "_t", "t", "d", "keep", "ll", "_p", "_found", "_new", "pii_replaced", "line_dedup_lines", "line_dedup_dropped", "language", "confidence", "u2__", "h", "row", "count", "text_"]
+    base = ["mail a.b@c.org now and then", "a line that many documents share\nx", "one two three four five six seven"]
+    rows = [(i, base[i % 3] + (f" {i} {i + 1} {i + 2}" if i % 4 else ""), "en", "s", 9, *(f"{c}{i}" for c in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    mine = {r[0]: r[5:] for r in rows}
+    outs = [op1_pii.pseudonymise(docs, "k"), op9_line_dedup.line_dedup(docs, min_docs=2), op3_decontamination.decontaminate(docs, spark.createDataFrame([(1, base[2])], "item_id long, text string")), op7_parity_join.one_of_each(docs)]
+    outs += [stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES[:-1]]
+    model = op4_language_id.train(docs)
+    none = F.lit(None)
+    outs += [op4_language_id.identify(docs, model, F.col("lang"), none, none, F.col("source")), op4_language_id.identify(docs, op4_language_id.train(docs.limit(0)), none, none, none, none)]
+    for out in outs:
+        got = out.collect()
+        assert got and len(set(map(str.lower, out.columns))) == len(out.columns)
+        for r in got:
+            assert tuple(r[c] for c in names) == mine[r.doc_id]
+    long = spark.createDataFrame([(1, f"write to {'a' * 80}@{'b' * 70}.{'c.' * 12}org. {'x' * 50000} end")], "doc_id long, text string")
+    assert "a" * 16 not in op1_pii.pseudonymise(long, "k").first().text
+
+
 # ---- the pipeline ---------------------------------------------------------------------------------------------------
 
 
@@ -547,8 +573,11 @@ def test_pipeline_stages(spark):
     texts = kept_texts(left)
     assert sorted((str(r.doc_id), r.text, r.n_chars) for r in out2.collect()) == sorted((i, t, len(t)) for i, _, _, t in texts)
     out3 = stage["ngram_jaccard_join"](spark, out2, SF)
-    of = groups([(None if i == "None" else int(i), t) for i, _, _, t in texts])
-    assert sorted(str(r.doc_id) for r in out3.collect()) == sorted(i for i, _, c in of if i == c)
+    assert sorted(str(r.doc_id) for r in out3.collect()) == groups([(None if i == "None" else int(i), t) for i, _, _, t in texts], one_of_each=True)
+    empty = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        empty = f(spark, empty, SF)
+    assert empty.count() == 0
     out4 = stage["benchmark_decontamination"](spark, out3, SF)
     assert out4.count() == out3.count()
     kept = [(r.doc_id, r.text) for r in out4.collect()]
