@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import op3_decontamination, op4_language_id, op6_packing, op7_parity_join, op9_line_dedup
-from lattica.llm.common import keyed, sheltered, unwritten, without, written
+from lattica.llm.common import keyed, sheltered, text_batches, unwritten, without, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can be told from text, declared language and source; texts without letters go."""
+    text_batches(spark)
     model = op4_language_id.train(docs)
     none = F.lit(None).cast("string")
     rows = keyed(docs.select("doc_id", "lang", "source", "text"))[0].drop("doc_id")
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the lines that stay in a later document."""
+    text_batches(spark)
     inner, restored = sheltered(docs, "doc_id", "text", "n_chars")
     out = op9_line_dedup.line_dedup(inner)
     return restored(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -36,6 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least doc_id, and of several rows with it one."""
+    text_batches(spark)
     return op7_parity_join.one_of_each(docs)
 
 
@@ -46,6 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    text_batches(spark)
     return op6_packing.pack(docs)
 
 
