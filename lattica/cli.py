@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica import algorithms, compare
+from lattica import algorithms, compare, plain
 from lattica.engine import Engine
 from lattica.graph import Graph
 from lattica.sources import convert, read_graph, write_results
@@ -45,14 +45,14 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 
 def _second_way(name: str, graph: Graph, args: argparse.Namespace, source: int | None) -> DataFrame:
-    """The result by full steps of the engine, or for PageRank the same program again."""
+    """The result by full steps of the engine (BFS) or by plain rounds without it."""
     if name == "bfs":
         engine = Engine(graph, algorithms.bfs_program(), graph.vertices.select("id", F.lit(algorithms.UNREACHED_DEPTH).alias("depth")))
         engine.set_active(source, source + 1)
         return engine.run()
     if name == "pagerank":
-        return algorithms.pagerank_fixed(graph, args.iterations) if args.iterations else algorithms.pagerank(graph, args.tol)
-    return algorithms.sssp(graph, source, directed=not args.undirected) if name == "sssp" else algorithms.min_labels(graph)
+        return plain.pagerank(graph, args.tol, args.iterations)
+    return plain.sssp(graph, source, directed=not args.undirected) if name == "sssp" else plain.min_labels(graph)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -85,14 +85,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     result.count()
     print(f"Took {(time.perf_counter() - began) * 1000:f} ms")
     if args.dump:
-        result.orderBy("id").show(50, truncate=False)
+        for r in result.orderBy("id").toLocalIterator():
+            print(f"{r['id']}\t{r[value]}")
     if args.output:
         write_results(result, value, args.output)
     if args.test:
         other = _second_way(name, graph, args, source)
         diff = compare.tolerant_diff(result, other, value) if value == "rank" else compare.exact_diff(result, other, value)
         if not diff.isEmpty():
-            diff.show(20)
+            for r in diff.toLocalIterator():
+                print(*r, sep="\t")
             return 1
     return 0
 

@@ -39,10 +39,10 @@ def _bin(error: Column) -> Column:
 
 
 def rank_histogram(gold: DataFrame, test: DataFrame, value: str = "rank") -> DataFrame:
-    """(bin, n, share, allowed, ok): ids by decade of the difference; ids that gold lacks are not looked at."""
+    """(bin, n, share, allowed, ok): ids by decade of the difference; shares are of all ids of ``test``, those that gold lacks included."""
     j = gold.select("id", F.col(value).alias("g")).join(test.select("id", F.col(value).alias("t")), "id")
     bins = j.select(_bin(F.abs(F.col("g") - F.col("t"))).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    total = bins.agg(F.sum("n").alias("total"))  # one row
+    total = test.agg(F.count("*").alias("total"))  # one row; ids that gold lacks count here
     allowed = F.element_at(F.array(*(F.lit(float(x)) for x in ALLOWED_SHARES)), F.col("bin") + 1)
     return bins.join(F.broadcast(total)).select("bin", "n", (F.col("n") / F.col("total")).alias("share"), allowed.alias("allowed"), (F.col("n") / F.col("total") <= allowed).alias("ok"))
 

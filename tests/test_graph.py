@@ -196,3 +196,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["convert", p, str(tmp_path / "g.gr")], spark) == 0
     assert "Took" in capsys.readouterr().out
     assert [r.value for r in spark.read.text(out).orderBy("value").collect()][:2] == ["0 0", "1 1"]
+
+
+def test_second_way_is_another_one_and_ids_without_gold_count(spark, tmp_path, monkeypatch):
+    from lattica import algorithms, cli, compare
+
+    p = str(tmp_path / "g.edges")
+    with open(p, "w") as f:
+        f.write("0 1\n1 2\n2 0\n3 4\n4 2\n")
+    for name in ("pagerank", "connected_component"):
+        assert cli.main([name, "-t", p], spark) == 0
+    wrong = algorithms.components
+    monkeypatch.setattr(algorithms, "components", lambda g: wrong(g).withColumn("label", F.col("label") + 1))
+    assert cli.main(["connected_component", "-t", p], spark) == 1
+    gold = spark.range(100).select("id", F.lit(1.0).alias("rank"))
+    test = spark.range(300).select("id", F.when(F.col("id") < 2, 1.0005).otherwise(1.0).alias("rank"))
+    assert not compare.check_ranks(gold, test.filter("id < 100")) and compare.check_ranks(gold, test) == compare.check_ranks(gold, test)
+    assert compare.rank_histogram(gold, test).agg(F.sum("share")).first()[0] == pytest.approx(1 / 3)
