@@ -184,7 +184,10 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
     return restored(out, "language", "confidence", "text_language")
 
 
-_HIDDEN = re.compile(r"<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+#: Labels below a country's under which domains are registered.
+_GENERAL = {"ac", "co", "com", "edu", "gov", "net", "org"}
+_OPENING = re.compile(r"<(script|style|nav|noscript)\b|<!--", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav", "noscript")} | {None: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _HTML = re.compile(r"""<html\b(?:[^>"']+|"[^"]*"|'[^']*')*""", re.I)
@@ -198,6 +201,29 @@ def declared_language(page: str) -> str | None:
     return m[1].lower() if m else None
 
 
+def visible(page: str) -> str:
+    """The page without comments and elements that aren't prose; one that is never closed stays. A closing tag that isn't found once
+    isn't looked for again, so the time is linear in the page."""
+    parts, at, kept, unclosed = [], 0, 0, set()
+    while m := _OPENING.search(page, at):
+        name = m[1].lower() if m[1] else None
+        end = None if name in unclosed else _CLOSING[name].search(page, m.end())
+        if end is None:
+            unclosed.add(name)
+            at = m.end()
+        else:
+            parts.append(page[kept : m.start()])
+            at = kept = end.end()
+    return " ".join([*parts, page[kept:]])
+
+
+def _site(host: str) -> str:
+    """The registered domain: two labels, three under a general label of a country (co.uk)."""
+    parts = host.split(".")
+    three = len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in _GENERAL
+    return ".".join(parts[-3 if three else -2 :])
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html) -> (page_id, declared, suffix, domain, host, text)."""
     for batch in batches:
@@ -207,8 +233,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = (urlsplit(url).hostname or None) if url else None
             except ValueError:
                 host = None
-            parts = host.split(".") if host else []
-            rows.append((declared_language(page) if page else None, parts[-1] if parts else None, ".".join(parts[-2:]) or None, host, _html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""))
+            rows.append((declared_language(page) if page else None, host.rsplit(".", 1)[-1] if host else None, _site(host) if host else None, host, _html.unescape(_TAG.sub(" ", visible(page))) if page else ""))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, pa.string()) for c in cols)], ["page_id", "declared", "suffix", "domain", "host", "text"])
 

@@ -29,8 +29,9 @@ from pyspark.sql.window import Window
 
 from lattica.llm.common import checked_broadcast, written
 
-#: Steps of the branch-and-bound search at most, and fillings looked at for each; the incumbent stands beyond them.
-NODES, WIDTH = 1500, 4
+#: Steps of one branch-and-bound search at most, and the numbers of fillings looked at for each in the searches that follow one
+#: another until the lower bound is met; the incumbent stands beyond them.
+NODES, WIDTHS = 4000, (2, 4, 1, 3, 8)
 Pattern = tuple[int, dict[int, int]]  # copies, {length: how many in each}
 
 
@@ -126,12 +127,27 @@ def fillings(room: int, counts: np.ndarray, sizes: np.ndarray, slack: int, width
     return [(w, f) for w, _, f in found[:width]]
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
-    """Patterns that pack the histogram: bin completion, with best-fit decreasing as the first incumbent."""
-    best = best_fit(counts, capacity)
-    best_n, bound, volume = sum(c for c, _ in best), lower_bound(counts, capacity), int((counts * np.arange(len(counts))).sum())
-    if best_n <= bound:
-        return best
+def sequences(patterns: list[Pattern]) -> int:
+    return sum(c for c, _ in patterns)
+
+
+def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, widths: tuple[int, ...] = WIDTHS) -> list[Pattern]:
+    """Patterns that pack the histogram: bin completion, with best-fit decreasing as the first incumbent.
+
+    A depth-first search seldom leaves the subtree of its first choices, so searches of other widths, whose first choices differ, follow
+    one that doesn't meet the lower bound. Each has the best packing so far as its incumbent.
+    """
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    for width in widths:
+        if sequences(best) <= bound:
+            break
+        best = _search(counts, capacity, best, bound, nodes, width)
+    return best
+
+
+def _search(counts: np.ndarray, capacity: int, best: list[Pattern], bound: int, nodes: int, width: int) -> list[Pattern]:
+    """The best packing that ``nodes`` steps of branch and bound find, or the incumbent."""
+    best_n, volume = sequences(best), int((counts * np.arange(len(counts))).sum())
     left, plan, waste, seen = counts.astype(np.int64).copy(), [], 0, 0
     choices: list[list[tuple[int, dict[int, int]]]] = []
 
@@ -147,7 +163,7 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, width: int =
     while seen < nodes and best_n > bound:
         seen += 1
         if not left.any():
-            n = sum(c for c, _ in plan)
+            n = sequences(plan)
             if n < best_n:
                 best, best_n = list(plan), n
             choices.append([])

@@ -193,6 +193,14 @@ def test_declared_language_is_found_anywhere(spark):
     assert [r.declared for r in got] == ["fr", "en", "it", None, "pt", None, None]
 
 
+def test_hidden_parts_of_pages():
+    assert op4_language_id.visible("a<script>b</SCRIPT >c<!-- <nav> -->d<nav>e") == "a c d<nav>e"
+    assert op4_language_id.visible("<style>x<nav>y</nav>z") == "<style>x z"
+    page = "<script " * 200_000  # 1.6 MB: quadratic work would take hours
+    assert op4_language_id.visible(page) == page
+    assert [op4_language_id._site(h) for h in ("a.b.co.uk", "co.uk", "a.b.com", "b", "x.y.fr")] == ["b.co.uk", "co.uk", "b.com", "b", "y.fr"]
+
+
 def test_language_evidence_is_bayes(spark):
     """Two hosts and a text without a tendency: host prior and declared language decide as the formula says."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -414,6 +422,14 @@ def test_bin_completion(seed):
     assert sum(c for c, _ in op6_packing.complete(small, 100)) == best
 
 
+def test_search_beats_best_fit():
+    counts = np.bincount(np.random.default_rng(1).integers(1, 1024, 300), minlength=1025)
+    plan = op6_packing.complete(counts, 1024)
+    assert op6_packing.sequences(plan) < op6_packing.sequences(op6_packing.best_fit(counts, 1024))
+    assert [sum(c * what.get(s, 0) for c, what in plan) for s in range(1025)] == counts.tolist()
+    assert all(sum(s * q for s, q in what.items()) <= 1024 for _, what in plan)
+
+
 # ---- 7 --------------------------------------------------------------------------------------------------------------
 
 
