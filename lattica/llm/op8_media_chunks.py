@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import bloom_has, build_bloom, written
+from lattica.llm.common import bloom_has, build_bloom, checked_broadcast, written
 
 UNIT = 192
 RATE = 8000
 LEAST, MASK_BITS, MOST = 512, 11, 16384
+#: References that a chunk must have at least to be copied.
+HOT = 1000
 _GEAR = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -199,9 +201,25 @@ def read_back(files: DataFrame, chunks: DataFrame) -> DataFrame:
     here = files.filter(whole).withColumn("got", F.lit(None).cast("array<struct<at:int,packed:binary>>"))
     apart = files.filter(~whole)
     refs = apart.select("row", "lengths", "digests").mapInArrow(_missing, "row long, at int, digest binary")
-    got = refs.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("at", "packed")).alias("got"))
+    got = fetched(refs, chunks).groupBy("row").agg(F.collect_list(F.struct("at", "packed")).alias("got"))
     return here.unionByName(apart.join(got, "row")).mapInArrow(_rebuilt, schema)
 
 
+def fetched(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``refs`` (row, at, digest) with the chunks' bytes.
+
+    A chunk that a quarter of a task's references or more name is copied, once for each such quarter, and its references are dealt to the
+    copies, so no task has all of them; there are at most 4 such chunks, and 8 copies, for each shuffle partition.
+    """
+    parts = max(2, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = written(refs.groupBy("digest").agg(F.count("*").alias("n")), "references")
+    least = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    hot = checked_broadcast(counts.filter(F.col("n") >= least).select("digest", F.ceil(F.col("n") / least).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    salted = refs.join(hot, "digest", "left").withColumn("copy", F.pmod(F.xxhash64("row", "at"), copies).cast("int")).drop("copies")
+    copied = chunks.join(hot, "digest", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return salted.join(copied, ["digest", "copy"]).drop("copy")
+
+
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(*store(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -511,6 +511,14 @@ def test_media_chunks(spark):
     assert op8_media_chunks.read_back(*op8_media_chunks.store(docs.limit(0))).count() == 0
 
 
+def test_references_of_a_hot_chunk_are_dealt_to_copies(spark, monkeypatch):
+    monkeypatch.setattr(op8_media_chunks, "HOT", 20)
+    refs = [(i, i % 3, f"d{i % 7 if i % 2 else 0}".encode()) for i in range(700)]
+    chunks = [(f"d{i}".encode(), f"chunk {i}".encode()) for i in range(9)]
+    got = op8_media_chunks.fetched(spark.createDataFrame(refs, "row long, at int, digest binary"), spark.createDataFrame(chunks, "digest binary, packed binary"))
+    assert sorted((r.row, r.at, bytes(r.packed)) for r in got.collect()) == [(i, at, b"chunk " + d[1:]) for i, at, d in refs]
+
+
 def test_cuts_follow_content():
     r = np.random.default_rng(2)
     data = r.integers(0, 256, 200_000, dtype=np.uint8)
