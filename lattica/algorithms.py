@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.components import connected_components
 from lattica.engine import Engine, VertexProgram
 from lattica.graph import Graph
-from lattica.session import settled, shared_dir
+from lattica.session import released, settled, shared_dir
 
 #: What is written for vertices that are not reached.
 UNREACHED_DEPTH = -1
@@ -25,11 +25,12 @@ def _finish(engine: Engine, result: DataFrame) -> DataFrame:
     return out
 
 
-def _sources(graph: Graph, source: int | Iterable[int] | DataFrame | None) -> DataFrame:
-    """(id) of the start vertices; None is the vertex of most out-edges."""
+def _sources(graph: Graph, source: int | Iterable[int | None] | DataFrame | None) -> DataFrame:
+    """(id) of the start vertices; None, alone or among others, is the vertex of most out-edges."""
     if isinstance(source, DataFrame):
         return source.select(F.col("id").cast("long"))
-    ids = [graph.max_out_degree_vertex()] if source is None else [source] if isinstance(source, int) else list(source)
+    ids = [source] if source is None or isinstance(source, int) else list(source)
+    ids = [graph.max_out_degree_vertex() if i is None else i for i in ids]
     return graph.spark.range(1).select(F.explode(F.array(*(F.lit(i).cast("long") for i in ids))).alias("id")) if ids else graph.spark.range(0)
 
 
@@ -37,6 +38,7 @@ def bfs(graph: Graph, source: int | Iterable[int] | DataFrame | None = None, max
     """(id, depth): edges from the nearest source, -1 where there is no path. ``source`` may be one id, several, a DataFrame (id),
     or None for the vertex of most out-edges."""
     frontier = settled(_sources(graph, source).distinct().join(graph.vertices.select("id"), "id", "left_semi"), "sources")
+    sources, held = [frontier], []
     edges = graph.edges.select("src", "dst").distinct().repartition("src").persist()
     depth, parts = 0, [frontier.withColumn("depth", F.lit(0))]
     seen = parts[0]
@@ -50,9 +52,11 @@ def bfs(graph: Graph, source: int | Iterable[int] | DataFrame | None = None, max
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = settled(seen, "seen")
+            held.append(seen)
     out = graph.vertices.select("id").join(seen, "id", "left").select("id", F.coalesce("depth", F.lit(UNREACHED_DEPTH)).cast("int").alias("depth"))
     out = settled(out, "result")
     edges.unpersist()
+    released(*parts, *held, *sources)
     return out
 
 

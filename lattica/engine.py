@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.primitives import REDUCERS
-from lattica.session import settled
+from lattica.session import released, settled
+
+
+#: Ids up to which a frontier is broadcast.
+BROADCAST_IDS = 500_000
 
 
 class Fields:
@@ -49,8 +53,9 @@ class Engine:
     """The loop: gather and apply on active vertices, then activate the out-neighbours of changed ones.
 
     Edges are dealt by src once and kept; a step joins them with the state without moving them. Each step's state is written to
-    the shared folder and read back: its lineage ends there, so plans stay small and a lost executor costs no earlier step. A
-    frontier below ``sparse`` of the vertices is used to filter edges before the join; a larger one isn't.
+    the shared folder, once a step, and read back: its lineage ends there, so plans stay small and a lost executor costs no earlier
+    step; the state before is deleted. A frontier below ``sparse`` of the vertices filters the edges by a broadcast of its ids if they
+    are no more than ``BROADCAST_IDS``. Else all edges are read, and one aggregation tells what a vertex gathers and whether it is active.
     """
 
     graph: Graph
@@ -66,12 +71,14 @@ class Engine:
         self.columns = [c for c in self.state.columns if c != "id"]
         self.edges = self.graph.edges.repartition(n, "src").persist()
         self._all = self.state.count()
+        self._spare: list[DataFrame] = []
         self._n = n
         self._hold(self.state.withColumns({"_active": F.lit(False), "_changed": F.lit(False)}))
 
     def _hold(self, state: DataFrame) -> None:
         """Keep the new state and count what is active and changed in it."""
-        self.state = settled(state, "state")
+        before, self.state = self.state, settled(state, "state")
+        released(before)
         self.n_active, self.n_changed = self.state.agg(F.count_if("_active"), F.count_if("_changed")).first()
 
     def set_active(self, start: int | DataFrame, end: int | None = None) -> None:
@@ -88,20 +95,39 @@ class Engine:
 
     def _role(self, prefix: str, key: str, where: str | None = None) -> DataFrame:
         rows = self.state.filter(where) if where else self.state
-        return rows.select(F.col("id").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in self.columns))
+        flag = [F.col("_changed").alias("_sc")] if prefix == "s_" else []
+        return rows.select(F.col("id").alias(key), *flag, *(F.col(c).alias(f"{prefix}{c}") for c in self.columns))
 
     def gathered(self, changed_only: bool = False) -> DataFrame:
         """(id, acc) of the vertices that have something to gather."""
-        p, e = self.program, self.edges
+        e = self.edges
         if not changed_only and self.n_active < self.sparse * self._all:
             e = e.join(self.state.filter("_active").select(F.col("id").alias("dst")), "dst", "left_semi")
+        return self._reduced(e, "_changed" if changed_only else None)
+
+    def _reduced(self, e: DataFrame, where: str | None = None, *more: Column) -> DataFrame:
+        """(id, _acc) of what edges ``e`` bring, of sources ``where``; ``more`` aggregates see the source's flag as _sc."""
+        p = self.program
         e = e.select("src", "dst", *(F.col(c).alias(f"e_{c}") for c in e.columns if c not in ("src", "dst")))
-        e = e.join(self._role("s_", "src", "_changed" if changed_only else None), "src")
+        e = e.join(self._role("s_", "src", where), "src")
         if p.uses_dst:
             e = e.join(self._role("d_", "dst"), "dst")
         value = p.gather(Fields("s_"), Fields("e_"), Fields("d_"))
         reduce = REDUCERS[p.reduce] if isinstance(p.reduce, str) else p.reduce
-        return e.select(F.col("dst").alias("id"), value.alias("_v")).groupBy("id").agg(reduce(F.col("_v")).alias("_acc"))
+        return e.select(F.col("dst").alias("id"), value.alias("_v"), "_sc").groupBy("id").agg(reduce(F.col("_v")).alias("_acc"), *more)
+
+    def _received(self) -> DataFrame:
+        """(id[, _acc]) of the vertices that a changed one leads to: the next frontier."""
+        few = self.n_changed < self.sparse * self._all
+        if few or self.program.gather is None:
+            hit = self.edges.join(self.state.filter("_changed").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            if self.program.gather is None:
+                return hit
+            self._spare.append(settled(hit, "frontier"))
+            hit = self._spare[-1]
+            if hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+                return self._reduced(self.edges.join(F.broadcast(hit.select(F.col("id").alias("dst"))), "dst", "left_semi"))
+        return self._reduced(self.edges, None, F.bool_or("_sc").alias("_hit")).filter("_hit").drop("_hit")
 
     def _applied(self, state: DataFrame, acc: Column | None) -> DataFrame:
         """New state of active vertices; the others keep theirs."""
@@ -145,6 +171,29 @@ class Engine:
         return self._run_changed(max_iter) if self.program.idempotent and self.program.scatter is None else self._run_full(max_iter)
 
     def _run_full(self, max_iter: int) -> DataFrame:
+        return self._run_joined(max_iter) if self.program.scatter is None else self._run_steps(max_iter)
+
+    def _run_joined(self, max_iter: int) -> DataFrame:
+        """As ``_run_steps``, with one join of the edges and one written state a step: who is active is found while its messages are."""
+        p, first = self.program, True
+        while self.n_active if first else self.n_changed:
+            self._bound(max_iter)
+            if first:
+                state = self.state if p.gather is None else self.state.join(self.gathered(), "id", "left")
+            else:
+                state = self.state.drop("_active").join(self._received().withColumn("_active", F.lit(True)), "id", "left").withColumn("_active", F.coalesce("_active", F.lit(False)))
+            acc = None if p.gather is None else F.col("_acc") if p.zero is None else F.coalesce("_acc", F.lit(p.zero))
+            self._hold(self._applied(state, acc))
+            released(*self._spare)
+            self._spare.clear()
+            if self.n_active:
+                self.frontier_sizes.append(self.n_active)
+                self.iteration += 1
+            first = False
+        return self.results()
+
+    def _run_steps(self, max_iter: int) -> DataFrame:
+        """The steps one by one, for programs that change edges."""
         while self.count_active():
             self._bound(max_iter)
             self.frontier_sizes.append(self.n_active)
@@ -182,5 +231,6 @@ class Engine:
         return self.state.select("id", *self.columns)
 
     def close(self) -> None:
-        """Let go of what is kept."""
+        """Let go of what is kept; results must have been written or read before."""
         self.edges.unpersist()
+        released(self.state)

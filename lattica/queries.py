@@ -13,8 +13,9 @@ from lattica.datasets import nation_trade, part_flow, trade
 from lattica.engine import Engine, VertexProgram
 from lattica.graph import Graph
 from lattica.session import settled, shared_dir
-from lattica.sources import read_graph, write_graph
+from lattica.sources import convert, read_graph, write_graph, write_results
 from lattica.sources.binary import read_binary_offsets
+from lattica.sources.dispatch import random_weights, replicate_files
 
 # ---- graphs in SQL --------------------------------------------------------------------------------------------------
 
@@ -70,6 +71,16 @@ r(it, id, rank) AS (SELECT 0, id, CAST(0.15 AS DOUBLE) FROM v UNION ALL
 SELECT id, round(rank, 6) AS rank FROM r WHERE it = {n}"""
 
 
+def _delta_sql(graph: str, tol: float) -> str:
+    return f"""WITH RECURSIVE {graph}, {OUTDEG},
+m AS (SELECT src, dst, count(*) AS k FROM e GROUP BY src, dst),
+r(it, id, rank, residual) AS (SELECT 0, id, CAST(0 AS DOUBLE), CAST(0.15 AS DOUBLE) FROM v UNION ALL
+ (WITH g AS (SELECT m.dst AS id, sum(0.85 * r.residual / od.outdeg * m.k) AS got FROM m JOIN r ON r.id = m.src JOIN od ON od.id = m.src WHERE r.residual > {tol} GROUP BY m.dst)
+  SELECT r.it + 1, r.id, CASE WHEN r.residual > {tol} THEN r.rank + r.residual ELSE r.rank END, CASE WHEN r.residual > {tol} THEN 0 ELSE r.residual END + coalesce(g.got, 0)
+  FROM r LEFT JOIN g ON g.id = r.id WHERE EXISTS (SELECT 1 FROM r WHERE residual > {tol})))
+SELECT id, round(rank + residual, 6) AS rank FROM r WHERE it = (SELECT max(it) FROM r)"""
+
+
 MAX_DEGREE = "SELECT id FROM od ORDER BY outdeg DESC, id LIMIT 1"
 ZERO = "SELECT CAST(0 AS BIGINT) AS id"
 
@@ -118,21 +129,48 @@ def gather_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def apply_changed(spark: SparkSession, sf: str) -> DataFrame:
-    e = _min_engine(part_flow(spark, sf))
-    e.set_active(0, 500)
+    g = part_flow(spark, sf)
+    e = _min_engine(g)
+    e.set_active(0, g.vertices.count() // 2)
     e.gather_apply()
     return _closed(e, e.state.select("id", "label", F.col("_changed").alias("changed")))
 
 
 def activate_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    e = _min_engine(part_flow(spark, sf))
-    e.set_active(0, 20)
+    g = part_flow(spark, sf)
+    e = _min_engine(g)
+    e.set_active(0, g.vertices.count() // 100)
     e.gather_apply()
     e.scatter_activate()
     e.next_iter()
     return _closed(e, primitives.compact(e.state, "_active"))
 
 
+def set_active_range(spark: SparkSession, sf: str) -> DataFrame:
+    e = _min_engine(part_flow(spark, sf))
+    e.set_active(10, 40)
+    return _closed(e, primitives.compact(e.state, "_active"))
+
+
+def apply_without_gather(spark: SparkSession, sf: str) -> DataFrame:
+    """Active vertices change by their own state alone."""
+    g = trade(spark, sf)
+    program = VertexProgram(gather=lambda src, edge, dst: src.label, apply=lambda v, acc, i: ({"label": v.label * 2 + i}, v.label % 2 == 1))
+    e = Engine(g, program, g.vertices.select("id", F.col("id").alias("label")))
+    e.set_active(0, g.vertices.count() // 2)
+    e.gather_apply(have_gather=False)
+    return _closed(e, e.state.select("id", "label", F.col("_changed").alias("changed")))
+
+
+def sssp_gather_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest paths by full gathers of active vertices, not by messages of changed ones."""
+    g = part_flow(spark, sf)
+    program = VertexProgram(gather=lambda src, edge, dst: src.dist + edge.w, reduce="min", apply=lambda v, acc, i: ({"dist": F.least(v.dist, acc)}, acc.isNotNull() & (v.dist.isNull() | (acc < v.dist))))
+    e = Engine(g, program, g.vertices.select("id", F.when(F.col("id") == 0, 0).cast("long").alias("dist")))
+    e.set_active(g.vertices)
+    return _closed(e, e.run().select("id", F.coalesce("dist", F.lit(algorithms.UNREACHED_DISTANCE)).cast("long").alias("dist")))
+
+
 def scatter_edge_update(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of changed vertices take the difference of the ends' labels."""
     e = _min_engine(nation_trade(spark, sf), scatter=lambda src, edge, dst: {"w": (edge.w + src.label - dst.label).cast("int")})
@@ -157,6 +195,52 @@ def _round_trip(ext: str, values: bool) -> Callable[[SparkSession, str], DataFra
     return run
 
 
+def edges_with_blanks_gz(spark: SparkSession, sf: str) -> DataFrame:
+    """A gzipped edge list with comments, blank lines and more after the ids."""
+    path = f"{shared_dir(spark)}/blanks-{uuid.uuid4().hex}.edges.gz"
+    text = nation_trade(spark, sf).edges.select(F.concat(F.lit("# edge\n \t\n\n"), F.col("src"), F.lit("\t "), F.col("dst"), F.lit(" more")))
+    text.write.option("compression", "gzip").text(path)
+    return read_graph(spark, path).edges
+
+
+def converted(spark: SparkSession, sf: str) -> DataFrame:
+    """A matrix converted to binary CSR, and that to a matrix again."""
+    path = f"{shared_dir(spark)}/convert-{uuid.uuid4().hex}"
+    write_graph(nation_trade(spark, sf), f"{path}.mtx")
+    convert(spark, f"{path}.mtx", f"{path}.gr")
+    convert(spark, f"{path}.gr", f"{path}-2.mtx")
+    return read_graph(spark, f"{path}-2.mtx", True).edges
+
+
+def replicated_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/replicate-{uuid.uuid4().hex}"
+    write_graph(nation_trade(spark, sf), f"{path}.mtx")
+    replicate_files(spark, [(f"{path}.mtx", 3)], f"{path}.edges")
+    return read_graph(spark, f"{path}.edges").edges
+
+
+def sharded_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/sharded-{uuid.uuid4().hex}"
+    write_results(trade(spark, sf).in_degrees(), "degree", path, sharded=True)
+    return spark.read.text(path)
+
+
+def weighted_at_random(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edge keeps its ends and gets a weight in 0 .. 100."""
+    return random_weights(part_flow(spark, sf)).edges.select("src", "dst", F.col("w").between(0, 100).alias("within"))
+
+
+def tolerant_diff(spark: SparkSession, sf: str) -> DataFrame:
+    g = part_flow(spark, sf)
+    d = compare.tolerant_diff(algorithms.pagerank_fixed(g, 4), algorithms.pagerank_fixed(g, 3), "rank", 0.01)
+    return d.select("id", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+def interval_gather(spark: SparkSession, sf: str) -> DataFrame:
+    g = part_flow(spark, sf)
+    return primitives.interval_gather(primitives.id_range(spark, 0, g.vertices.count() // 2), g.edges).select("src", "dst", "w")
+
+
 def gr_offsets(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}.gr"
     write_graph(nation_trade(spark, sf), path)
@@ -237,12 +321,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "apply_changed": apply_changed,
         "activate_frontier": activate_frontier,
         "scatter_edge_update": scatter_edge_update,
-        "set_active_range": lambda s, d: p.id_range(s, 10, 40),
+        "set_active_range": set_active_range,
+        "apply_without_gather": apply_without_gather,
+        "sssp_gather_form": sssp_gather_form,
+        "bfs_sources_and_max_degree": lambda s, d: a.bfs(trade(s, d).symmetrize(), [3, 517, None]),
+        "in_degree_part": lambda s, d: part_flow(s, d).in_degrees(),
+        "csc_offsets_part": lambda s, d: part_flow(s, d).csc_offsets(),
+        "csc_neighbours": lambda s, d: trade(s, d).csc().select("id", F.array_join("neighbours", ",").alias("neighbours")),
+        "symmetrize_part": lambda s, d: part_flow(s, d).symmetrize().edges,
+        "cc_part_undirected": lambda s, d: a.components(part_flow(s, d), undirected=True),
+        "by_edges": lambda s, d: p.by_edges(part_flow(s, d).edges, "src", 8, salt=4),
+        "tolerant_diff": tolerant_diff,
+        "edges_with_blanks_gz": edges_with_blanks_gz,
+        "converted": converted,
+        "replicated_files": replicated_files,
+        "sharded_results": sharded_results,
+        "weighted_at_random": weighted_at_random,
         "exclusive_scan": lambda s, d: p.exclusive_scan(part_flow(s, d).out_degrees(), "id", "degree").select("id", "scan"),
         "reduce_by_key": lambda s, d: p.reduce_by_key(part_flow(s, d).edges, "dst", "w", "max"),
         "gather_counts": lambda s, d: p.gather_counts(trade(s, d).in_degrees()),
         "scatter_counts": lambda s, d: p.scatter_counts(trade(s, d).out_degrees().withColumn("flag", F.col("id") % 2 == 0), "flag").select("id", F.col("n").cast("long").alias("n")),
-        "interval_gather": lambda s, d: p.interval_gather(p.id_range(s, 0, 50), part_flow(s, d).edges).select("src", "dst", "w"),
+        "interval_gather": interval_gather,
         "compact_if": lambda s, d: p.compact(part_flow(s, d).out_degrees(), F.col("degree") > 24),
         "unique_sorted": lambda s, d: p.unique_sorted(part_flow(s, d).edges, "dst"),
         "arg_sort": lambda s, d: p.arg_sort(trade(s, d).out_degrees(), "degree", "id").select("id", "position"),
@@ -293,19 +392,35 @@ def oracle_sql() -> dict[str, str]:
         "gather_min": f"WITH {PART} SELECT dst AS id, min(src) AS acc FROM e GROUP BY dst",
         "gather_sum": f"WITH {PART} SELECT dst AS id, CAST(sum(w + dst - src) AS BIGINT) AS acc FROM e GROUP BY dst",
         "gather_zero_no_in_edges": f"WITH {TRADE} SELECT v.id, CAST(coalesce(max(e.w), -7) AS INTEGER) AS top FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
-        "apply_changed": f"WITH {PART}, g AS (SELECT dst AS id, min(src) AS acc FROM e GROUP BY dst) SELECT v.id, CASE WHEN v.id < 500 THEN least(v.id, acc) ELSE v.id END AS label, coalesce(v.id < 500 AND acc < v.id, FALSE) AS changed FROM v LEFT JOIN g ON g.id = v.id",
-        "activate_frontier": f"WITH {PART}, c AS (SELECT dst AS id FROM e WHERE dst < 20 GROUP BY dst HAVING min(src) < dst) SELECT DISTINCT e.dst AS id FROM e JOIN c ON c.id = e.src",
+        "apply_changed": f"WITH {PART}, g AS (SELECT dst AS id, min(src) AS acc FROM e GROUP BY dst) SELECT v.id, CASE WHEN v.id < (SELECT count(*) // 2 FROM v) THEN least(v.id, acc) ELSE v.id END AS label, coalesce(v.id < (SELECT count(*) // 2 FROM v) AND acc < v.id, FALSE) AS changed FROM v LEFT JOIN g ON g.id = v.id",
+        "activate_frontier": f"WITH {PART}, c AS (SELECT dst AS id FROM e WHERE dst < (SELECT count(*) // 100 FROM v) GROUP BY dst HAVING min(src) < dst) SELECT DISTINCT e.dst AS id FROM e JOIN c ON c.id = e.src",
         "scatter_edge_update": f"WITH {NATION}, s AS (SELECT n AS id, least(n, coalesce(min(e.src), n)) AS label, coalesce(min(e.src) < n, FALSE) AS changed FROM (SELECT CAST(unnest(range(25)) AS BIGINT) AS n) LEFT JOIN e ON e.dst = n GROUP BY n) SELECT src, dst, CAST(CASE WHEN a.changed THEN w + a.label - b.label ELSE w END AS INTEGER) AS w FROM e JOIN s a ON a.id = src JOIN s b ON b.id = dst",
-        "set_active_range": "SELECT CAST(unnest(range(10, 40)) AS BIGINT) AS id",
+        "set_active_range": f"WITH {PART} SELECT id FROM v WHERE id BETWEEN 10 AND 39",
+        "apply_without_gather": f"WITH {TRADE}, n AS (SELECT count(*) // 2 AS half FROM v) SELECT id, CASE WHEN id < half THEN id * 2 ELSE id END AS label, id < half AND id % 2 = 1 AS changed FROM v, n",
+        "sssp_gather_form": _sssp_sql(PART, ZERO),
+        "bfs_sources_and_max_degree": _bfs_sql(TRADE, "SELECT unnest([3, 517]) AS id UNION SELECT id FROM (SELECT v.id, count(y.src) AS n FROM v LEFT JOIN y ON y.src = v.id GROUP BY v.id ORDER BY n DESC, v.id LIMIT 1)", "y"),
+        "in_degree_part": f"WITH {PART} {deg('dst')}",
+        "csc_offsets_part": offsets(PART, "dst"),
+        "csc_neighbours": f"WITH {TRADE} SELECT v.id, coalesce(string_agg(CAST(e.src AS VARCHAR), ',' ORDER BY e.src), '') AS neighbours FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
+        "symmetrize_part": f"WITH {PART}, {BOTH} SELECT src, dst, w FROM y",
+        "cc_part_undirected": _cc_sql(PART, "y"),
+        "by_edges": f"WITH {PART} SELECT src, dst, w FROM e",
+        "tolerant_diff": f"WITH {fixed(4, 'g')}, {fixed(3, 't')} SELECT id, round(g.rank, 6) AS \"left\", round(t.rank, 6) AS \"right\" FROM g JOIN t USING (id) WHERE abs(g.rank - t.rank) > 0.01",
+        "edges_with_blanks_gz": f"WITH {NATION} SELECT src, dst FROM e",
+        "converted": f"WITH {NATION} SELECT src, dst, w FROM e",
+        "replicated_files": f"WITH {NATION} SELECT src + 25 * k AS src, dst + 25 * k AS dst FROM e, (SELECT unnest(range(3)) AS k)",
+        "sharded_results": f"WITH {TRADE}, d AS ({deg('dst')}) SELECT concat(id, chr(9), degree) AS value FROM d",
+        "weighted_at_random": f"WITH {PART} SELECT src, dst, TRUE AS within FROM e",
+        "pagerank_delta": _delta_sql(PART, 1e-4),
         "exclusive_scan": f"WITH {PART}, d AS ({deg('src')}) SELECT id, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM d",
         "reduce_by_key": f"WITH {PART} SELECT dst, max(w) AS value FROM e GROUP BY dst",
         "gather_counts": f"WITH {TRADE}, d AS ({deg('dst')}) SELECT id, greatest(degree, 1) AS n FROM d",
         "scatter_counts": f"WITH {TRADE}, d AS ({deg('src')}) SELECT id, CAST(CASE WHEN id % 2 = 0 THEN degree ELSE 0 END AS BIGINT) AS n FROM d",
-        "interval_gather": f"WITH {PART} SELECT src, dst, w FROM e WHERE src < 50",
+        "interval_gather": f"WITH {PART} SELECT src, dst, w FROM e WHERE src < (SELECT count(*) // 2 FROM v)",
         "compact_if": f"WITH {PART}, d AS ({deg('src')}) SELECT id FROM d WHERE degree > 24",
         "unique_sorted": f"WITH {PART} SELECT DISTINCT dst FROM e ORDER BY dst",
         "arg_sort": f"WITH {TRADE}, d AS ({deg('src')}) SELECT id, row_number() OVER (ORDER BY degree, id) - 1 AS position FROM d",
-        "check_distances": "SELECT CAST(517 AS BIGINT) AS id, CAST(5 AS BIGINT) AS gold, CAST(0 AS BIGINT) AS test",
+        "check_distances": f"WITH s AS ({_sssp_sql(TRADE, 'SELECT 517 AS id')}) SELECT id, CAST(5 AS BIGINT) AS gold, dist AS test FROM s WHERE id = 517 AND dist <> 5",
         "exact_diff": f"WITH l AS ({_bfs_sql(TRADE, 'SELECT 517 AS id')}), r AS ({_bfs_sql(TRADE, 'SELECT 517 AS id', 'y')}) SELECT l.id, l.depth AS \"left\", r.depth AS \"right\" FROM l JOIN r ON l.id = r.id WHERE l.depth <> r.depth",
         "rank_histogram": f"WITH {fixed(4, 'g')}, {fixed(3, 't')}, h AS (SELECT {bins} AS bin, count(*) AS n FROM (SELECT abs(g.rank - t.rank) AS x FROM g JOIN t ON g.id = t.id) GROUP BY 1), k AS (SELECT bin, n, n / CAST((SELECT sum(n) FROM h) AS DOUBLE) AS share, CAST({compare.ALLOWED_SHARES}[bin + 1] AS DOUBLE) AS allowed FROM h) SELECT CAST(bin AS INTEGER) AS bin, n, round(share, 6) AS share, allowed, share <= allowed AS ok FROM k",
         "timing_report": "WITH t AS (SELECT o_orderstatus AS algo, o_orderpriority AS graph, max(o_totalprice) FILTER (WHERE o_custkey % 2 = 0) AS c, CASE WHEN o_orderstatus <> 'O' THEN max(o_totalprice) FILTER (WHERE o_custkey % 2 <> 0) END AS g FROM orders GROUP BY 1, 2) SELECT algo, graph, round(coalesce(c, -1), 4) AS cpu, round(coalesce(g, -1), 4) AS gpu, round(CASE WHEN c IS NOT NULL AND g > 0 THEN c / g ELSE -1 END, 6) AS ratio FROM t",

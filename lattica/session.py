@@ -10,13 +10,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: The folder of each table that ``settled`` made, until ``released`` deletes it.
+_folders: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode an own one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -26,7 +30,19 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends here and lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (out, path)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``settled`` that nothing reads any more; others are left alone."""
+    for df in tables:
+        _, path = _folders.pop(id(df), (None, None))
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -51,6 +51,19 @@ def test_frontier_sizes(spark):
     assert ranks == pytest.approx([0.15, 0.2775, 0.385875, 2.155984, 1.974106], abs=1e-6) and len(sizes) == 27
 
 
+@pytest.mark.parametrize("sparse, bound", [(0.0, 10), (2.0, 10_000), (2.0, 0)])
+def test_frontiers_of_all_kinds_run_the_same_steps(spark, monkeypatch, sparse, bound):
+    monkeypatch.setattr("lattica.engine.BROADCAST_IDS", bound)
+    r = random.Random(3)
+    edges = [(r.randrange(30), r.randrange(40), 1) for _ in range(90)]
+    g = graph(spark, edges, 40)
+    program = VertexProgram(gather=lambda s, e, d: s.rank / s.outdeg, zero=0.0, apply=lambda v, acc, i: ({"rank": 0.15 + 0.85 * acc}, F.abs(0.15 + 0.85 * acc - v.rank) >= 0.01))
+    e = Engine(g, program, g.out_degrees().select("id", F.lit(0.15).alias("rank"), F.col("degree").alias("outdeg")), sparse=sparse)
+    e.set_active(0, 40)
+    ranks, sizes = oracle.pagerank(40, edges)
+    assert column(e.run(), "rank") == pytest.approx(ranks) and e.frontier_sizes == sizes
+
+
 def test_parallel_edges_and_isolated_vertices(spark):
     g = graph(spark, [(0, 1, 1), (0, 1, 1), (0, 2, 1)])
     assert column(alg.pagerank(g), "rank")[1] == pytest.approx(0.235)
