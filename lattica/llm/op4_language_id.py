@@ -38,16 +38,25 @@ from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, sheltered, wri
 BUCKETS = 1 << 15
 #: Languages whose likelihoods are summed at once.
 AT_ONCE = 8
+#: Bytes of text whose trigrams are held at once, also of a longer text; the arrays over them take some 150 bytes for each with four languages.
+RUN_BYTES = 1 << 17
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32  # what isn't a letter is a space
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs; a part of a longer row ends with the two bytes that its last trigrams reach into."""
+    for a, b, raw, off in ta.chunks(data, offsets, RUN_BYTES):
+        for at in range(0, max(1, len(raw)), RUN_BYTES):
+            part = raw[at : at + RUN_BYTES + 2]
+            yield a, b, part, np.minimum(off, len(part))
+
+
 def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, buckets of the trigrams, first trigram of each row, whether rows have letters) of runs of rows; runs
-    of spaces are left out."""
-    data, offsets = ta.buffers(column)
-    for a, b, raw, off in ta.chunks(data, offsets):
+    """(first row, end row, buckets of the trigrams, first trigram of each row, whether rows have letters) of runs of RUN_BYTES at
+    most: of rows, or of a part of a longer row, whose parts come one after another. Runs of spaces are left out."""
+    for a, b, raw, off in _runs(*ta.buffers(column)):
         x = _FOLD[raw].astype(np.uint32)
         lettered = np.diff(np.concatenate([[0], np.cumsum(x != 32)])[off]) > 0
         if len(x) < 3:
@@ -105,22 +114,20 @@ def _likelihoods(model: TextModel, temper: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[float] | None] = []
-            soft: list[list[float]] = []
-            for _, _, h, at, lettered in _trigrams(batch.column("text")):
-                ll = np.zeros((len(at) - 1, n_langs))
+            ll, known = np.zeros((batch.num_rows, n_langs)), np.zeros(batch.num_rows, bool)
+            for a, b, h, at, lettered in _trigrams(batch.column("text")):
+                known[a:b] |= lettered
                 for k in range(0, n_langs, AT_ONCE):
                     sums = np.zeros((len(h) + 1, min(AT_ONCE, n_langs - k)))
                     np.cumsum(model.table[h, k : k + AT_ONCE], axis=0, out=sums[1:], dtype=np.float64)
-                    ll[:, k : k + AT_ONCE] = temper * (sums[at[1:]] - sums[at[:-1]])
-                ll -= ll.max(axis=1, keepdims=True) if ll.size else 0
-                p = np.exp(ll)
-                p /= p.sum(axis=1, keepdims=True)
-                p[~lettered] = 0.0
-                out += [x.tolist() if n else None for x, n in zip(ll, lettered, strict=True)]
-                soft += p.tolist()
+                    ll[a:b, k : k + AT_ONCE] += temper * (sums[at[1:]] - sums[at[:-1]])
+            ll -= ll.max(axis=1, keepdims=True) if ll.size else 0
+            p = np.exp(ll)
+            p /= p.sum(axis=1, keepdims=True)
+            p[~known] = 0.0
+            out = [x.tolist() if n else None for x, n in zip(ll, known, strict=True)]
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64())), pa.array(soft, pa.list_(pa.float64()))], [*names, "ll", "_p"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64())), pa.array(p.tolist(), pa.list_(pa.float64()))], [*names, "ll", "_p"])
 
     return run
 

@@ -4,9 +4,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +203,39 @@ def test_hidden_parts_of_pages():
     assert [op4_language_id._site(h) for h in ("a.b.co.uk", "co.uk", "a.b.com", "b", "x.y.fr")] == ["b.co.uk", "co.uk", "b.com", "b", "y.fr"]
 
 
+def test_trigrams_come_in_bounded_runs(monkeypatch):
+    """Texts around the length of a run and far beyond it: no trigram is lost or counted twice, and memory doesn't grow with a text."""
+    r = random.Random(5)
+    odd = ["".join(r.choice("aBc  .1") for _ in range(n)) for n in [0, 1, 2, 3, 15, 16, 17, 18, 19, 31, 32, 33, 34, 35, 100] * 3]
+    texts = [*odd, None, "", " " * 40, "é" * 20, *[t[:5] for t in odd]]
+    fold = [bytes(op4_language_id._FOLD[list((t or "").encode())].tolist()) for t in texts]
+
+    def hashed(x):
+        return ((x[0] * 65599 + x[1]) * 65599 + x[2]) % 2**32 * 2654435761 % 2**32 >> 17
+
+    want = [[hashed(x[i : i + 3]) for i in range(len(x) - 2) if x[i + 1] != 32 or (x[i] != 32 and x[i + 2] != 32)] for x in fold]
+    column = pa.array(texts, pa.string())
+    for size in (1, 16, 1 << 17):
+        monkeypatch.setattr(op4_language_id, "RUN_BYTES", size)
+        got, letters = [[] for _ in texts], [False] * len(texts)
+        for a, b, h, at, lettered in op4_language_id._trigrams(column):
+            assert b - a == len(lettered) == len(at) - 1
+            for i in range(b - a):
+                got[a + i] += h[at[i] : at[i + 1]].tolist()
+                letters[a + i] |= bool(lettered[i])
+        assert got == want and letters == [any(c != 32 for c in x) for x in fold]
+    monkeypatch.undo()
+    model = op4_language_id.TextModel(["de", "en", "es", "fr"], np.ones((4, op4_language_id.BUCKETS)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["stone river " * 300_000, "x" * 1000])], ["text"])
+    labelled = batch.append_column("lang", pa.array(["en", "de"]))
+    for run in (lambda: list(op4_language_id._likelihoods(model, 0.1)(iter([batch]))), lambda: list(op4_language_id._count(iter([labelled])))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+
+
 def test_language_evidence_is_bayes(spark):
     """Two hosts and a text without a tendency: host prior and declared language decide as the formula says."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
