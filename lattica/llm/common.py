@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ BROADCAST_BYTES = 16 << 20
 #: Bits of a Bloom filter at most: 16 MB. Beyond its capacity it only lets more rows through.
 BLOOM_BITS = 1 << 27
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Scratch files in a ``file:`` folder get no checksum file beside them: Hadoop's local file systems start a process (chmod) for each
+#: file they make, and while one starts, the executor's memory counts twice for whoever looks at it.
+_NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: The folder of each table that ``written`` made, until ``unwritten`` deletes it.
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
 
@@ -38,7 +44,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = N
     if batch is not None:
         spark.conf.set(_BATCH, batch)
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(**_NO_CHECKSUMS).option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     if sweep:
@@ -56,6 +62,19 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(_BATCH, rows)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow; at the end of a task its Python worker gives the system what it has freed. Workers stay for the next
+    tasks and, idle, for a minute, beside the JVM of whatever stage comes next."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError, TypeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return lean
+
+
 def unwritten(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import textarrays as ta
-from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, sheltered, written
+from lattica.llm.common import BROADCAST_ROWS, checked_broadcast, sheltered, trimmed, written
 
 BUCKETS = 1 << 15
 #: Languages whose likelihoods are summed at once.
@@ -101,7 +101,7 @@ def train(docs: DataFrame) -> TextModel:
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # as many as there are labels
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS)))
-    counted = labelled.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = labelled.mapInArrow(trimmed(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     at = {x: i for i, x in enumerate(languages)}
     counts[counted["lang"].map(at).to_numpy(int), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
@@ -146,7 +146,7 @@ def identify(rows: DataFrame, model: TextModel, declared: Column, suffix: Column
     evidence, restored = sheltered(rows, "text", more={k: v.cast("string") for k, v in said.items()})
     kept = [c for c in evidence.columns if c != "text" and c not in said]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.schema if f.name != "text"), "ll array<double>", "_p array<double>"])
-    scored = evidence.mapInArrow(_likelihoods(model, temper), schema)
+    scored = evidence.mapInArrow(trimmed(_likelihoods(model, temper)), schema)
     scored = written(scored, "text-evidence")
     each = lambda f, c, to: F.array(*(f(F.element_at(c, i + 1)) for i in range(n))).alias(to)
     sums = lambda keys: scored.filter("ll is not null").groupBy(*keys).agg(each(F.sum, "_p", "_s"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lattica.llm.common import checked_broadcast, written
+from lattica.llm.common import checked_broadcast, trimmed, written
 
 #: Steps of one branch-and-bound search at most, and the numbers of fillings looked at for each in the searches that follow one
 #: another until the lower bound is met; the incumbent stands beyond them.
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, path: str | None =
         path, ranks = default_tokenizer()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, k long"
-    pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(path, ranks, capacity, end), schema), "pieces")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(trimmed(_pieces(path, ranks, capacity, end)), schema), "pieces")
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = per_task.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     counts = np.zeros(capacity + 1, np.int64)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import op1_pii, op2_licenses, op3_decontamination, op4_language_id, op5_suffix_tree, op6_packing, op7_parity_join, op8_media_chunks, op9_line_dedup, op10_quality
+from lattica.llm.common import _PATHS, trimmed, unwritten, written
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in is it that was for on as with by be at this from or an red blue green stone river cloud".split()
@@ -619,6 +620,35 @@ def test_columns_of_any_name_are_carried_along(spark):
 # ---- the pipeline ---------------------------------------------------------------------------------------------------
 
 
+def test_workers_give_freed_memory_back():
+    """A task that leaves one small block above all that it frees; the worker's memory is read between tasks."""
+    pins = []
+
+    def run(batches):
+        held = [bytes(1000) for _ in range(100_000)]
+        pins.append(bytes(1000))
+        yield from batches
+        held.clear()
+
+    def resident():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    before = resident()
+    assert list(trimmed(run)(iter([batch, batch]))) == [batch, batch]
+    assert resident() < before + 50
+
+
+def test_scratch_tables_have_no_checksum_files(spark):
+    df = written(spark.range(0, 1000, 1, 3), "numbers")
+    folder = _PATHS[id(df)][1].removeprefix("file:")
+    names = os.listdir(folder.replace("///", "/", 1))
+    assert "_SUCCESS" in names and sum(x.endswith(".parquet") for x in names) == 3 and not any(x.endswith(".crc") for x in names)
+    assert df.count() == 1000 and df.agg(F.sum("id")).first()[0] == 499500
+    unwritten(df)
+    assert not os.path.exists(folder.replace("///", "/", 1))
+
+
 def test_pipeline_stages(spark):
     docs, rows = corpus(spark)
     odd = [(90, "12 34 55", "en", "s1", 1, "")]
