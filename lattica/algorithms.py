@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.blocks import Blocks, Rule
 from lattica.components import connected_components
 from lattica.engine import Engine, VertexProgram
 from lattica.graph import Graph
@@ -143,21 +145,26 @@ def pagerank_fixed(graph: Graph, iterations: int) -> DataFrame:
     return out
 
 
+class _Pushed(Rule):
+    """Rank and residual."""
+
+    def __init__(self, tol: float):
+        self.tol = tol
+
+    def start(self, ids, chosen):
+        return [np.zeros(len(ids)), np.full(len(ids), PAGE_CONST)], len(ids) * (PAGE_CONST > self.tol)
+
+    def send(self, state, outdeg):
+        return np.where(state[1] > self.tol, (1 - PAGE_CONST) * state[1] / np.maximum(outdeg, 1), 0.0), None
+
+    def apply(self, state, acc, hit, first):
+        rank, residual = state
+        on = residual > self.tol
+        left = np.where(on, 0.0, residual) + acc
+        return [np.where(on, rank + residual, rank), left], int((left > self.tol).sum())
+
+
 def pagerank_delta(graph: Graph, tol: float = 1e-4, max_iter: int = 10_000) -> DataFrame:
     """(id, rank) by pushing changes: vertices with a residual above ``tol`` add it to their rank and send 0.85 / out-degree of it on.
     Ranks differ from the fixed point by what residuals are left."""
-    g, degree = _rank_parts(graph)
-    edges = g.edges.repartition("src").persist()
-    state = settled(degree.select("id", "outdeg", F.lit(0.0).alias("rank"), F.lit(PAGE_CONST).alias("residual")), "ranks")
-    for i in range(max_iter):
-        hot = state.filter(F.col("residual") > tol)
-        if hot.isEmpty():
-            break
-        sent = edges.join(hot, edges["src"] == hot["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum((1 - PAGE_CONST) * F.col("residual") / F.col("outdeg") * F.col("multiplicity")).alias("_in"))
-        on = F.col("residual") > tol
-        state = state.join(sent, "id", "left").select("id", "outdeg", F.when(on, F.col("rank") + F.col("residual")).otherwise(F.col("rank")).alias("rank"), (F.when(on, 0.0).otherwise(F.col("residual")) + F.coalesce("_in", F.lit(0.0))).alias("residual"))
-        state = settled(state, "ranks")
-    else:
-        raise RuntimeError(f"still active after {max_iter} iterations")
-    edges.unpersist()
-    return state.select("id", (F.col("rank") + F.col("residual")).alias("rank"))
+    return Blocks(graph).run(_Pushed(tol), lambda state: state[0] + state[1], "id long, rank double", max_iter=max_iter)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.graph import Graph
+from lattica.session import settled
 
 
 def part_flow(spark: SparkSession, sf_dir: str) -> Graph:
@@ -14,7 +15,7 @@ def part_flow(spark: SparkSession, sf_dir: str) -> Graph:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     edges = lines.select(F.col("l_partkey").cast("long").alias("src"), after.cast("long").alias("dst"), F.floor("l_quantity").cast("int").alias("w"))
-    return Graph.from_edges(edges.filter("dst is not null and src <> dst"))
+    return Graph.from_edges(settled(edges.filter("dst is not null and src <> dst"), "edges"))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:

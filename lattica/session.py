@@ -35,6 +35,11 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def is_settled(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of ``settled`` that hasn't been deleted."""
+    return id(df) in _folders
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables of ``settled`` that nothing reads any more; others are left alone."""
     for df in tables:
