@@ -113,21 +113,31 @@ def _rank_parts(graph: Graph) -> tuple[Graph, DataFrame]:
     return graph.collapse(), degree
 
 
-def pagerank(graph: Graph, tol: float = TOLERANCE, strict: bool = False, max_iter: int = 10_000) -> DataFrame:
-    """(id, rank): 0.15 + 0.85 * sum of rank / out-degree over in-edges, unnormalised. All vertices start active; a change of ``tol`` or
-    more (with ``strict``: more than it) activates the out-neighbours, others keep their rank."""
-    g, degree = _rank_parts(graph)
-    far = (lambda d: d > tol) if strict else (lambda d: d >= tol)
+class _Ranks(Rule):
+    """Rank, and whether it changed by ``tol`` or more (with ``strict``: more than it) when its vertex was last active."""
+
+    def __init__(self, tol: float | None = None, strict: bool = False):
+        self.tol, self.strict = tol, strict
+
+    def start(self, ids, chosen):
+        return [np.full(len(ids), PAGE_CONST), np.zeros(len(ids), bool)], len(ids)
+
+    def send(self, state, outdeg):
+        return state[0] / np.maximum(outdeg, 1), None if self.tol is None else state[1]
 
-    def apply(v, acc, i):
+    def apply(self, state, acc, hit, first):
         new = PAGE_CONST + (1 - PAGE_CONST) * acc
-        return {"rank": new}, far(F.abs(new - v.rank))
+        if self.tol is None:
+            return [new, state[1]], len(new)
+        on, moved = hit | first, np.abs(new - state[0])
+        far = on & ((moved > self.tol) if self.strict else (moved >= self.tol))
+        return [np.where(on, new, state[0]), far], int(far.sum())
 
-    program = VertexProgram(gather=lambda src, edge, dst: src.rank / src.outdeg * edge.multiplicity, reduce="sum", zero=0.0, apply=apply)
-    state = degree.select("id", F.lit(PAGE_CONST).alias("rank"), "outdeg")
-    engine = Engine(g, program, state)
-    engine.set_active(state.select("id"))
-    return _finish(engine, engine.run(max_iter).select("id", "rank"))
+
+def pagerank(graph: Graph, tol: float = TOLERANCE, strict: bool = False, max_iter: int = 10_000) -> DataFrame:
+    """(id, rank): 0.15 + 0.85 * sum of rank / out-degree over in-edges, unnormalised. All vertices start active; a change of ``tol`` or
+    more (with ``strict``: more than it) activates the out-neighbours, others keep their rank."""
+    return Blocks(graph).run(_Ranks(tol, strict), lambda state: state[0], "id long, rank double", max_iter=max_iter)
 
 
 def pagerank_fixed(graph: Graph, iterations: int) -> DataFrame:

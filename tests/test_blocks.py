@@ -2,11 +2,13 @@ import random
 
 import pytest
 
+import oracle
 from lattica import algorithms as alg
 from lattica.graph import Graph
 
 CASES = {
     "delta": lambda g: alg.pagerank_delta(g, 1e-2),
+    "frontier": lambda g: alg.pagerank(g),
 }
 
 
@@ -82,3 +84,8 @@ def test_ids_that_are_no_vertices_and_wide_ids(spark, monkeypatch):
     empty = Graph(spark.range(0), edges.limit(0))
     assert alg.pagerank_delta(empty).count() == 0
     assert ranks(alg.pagerank_delta(Graph(spark.range(3), edges.limit(0)))) == pytest.approx([0.15] * 3)
+
+
+def test_ranks_over_several_blocks(many):
+    n, edges, g = many
+    assert ranks(alg.pagerank(g)) == pytest.approx(oracle.pagerank(n, edges)[0], abs=1e-9)
