@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.blocks import Blocks, Rule
+from lattica.blocks import NO_PATH, Blocks, Rule
 from lattica.components import connected_components
 from lattica.engine import Engine, VertexProgram
 from lattica.graph import Graph
@@ -67,6 +67,23 @@ def bfs_program() -> VertexProgram:
     return VertexProgram(apply=lambda v, acc, i: ({"depth": F.when(v.depth == UNREACHED_DEPTH, F.lit(i)).otherwise(v.depth)}, v.depth == UNREACHED_DEPTH))
 
 
+class _Distances(Rule):
+    """Distance, and whether it became less in the last step: only then it is sent on."""
+
+    zero, least = NO_PATH, True
+
+    def start(self, ids, chosen):
+        dist = np.where(np.isin(ids, chosen), 0, NO_PATH)
+        return [dist, dist == 0], int((dist == 0).sum())
+
+    def send(self, state, outdeg):
+        return np.where(state[1], state[0], NO_PATH), None
+
+    def apply(self, state, acc, hit, first):
+        less = acc < state[0]
+        return [np.where(less, acc, state[0]), less], int(less.sum())
+
+
 def sssp(graph: Graph, source: int | Iterable[int] | DataFrame | None = None, directed: bool = True, default_weight: int | None = None, max_iter: int = 10_000) -> DataFrame:
     """(id, dist): the least sum of weights ``w`` from a source, 2147383647 where there is no path."""
     edges = graph.edges
@@ -76,19 +93,9 @@ def sssp(graph: Graph, source: int | Iterable[int] | DataFrame | None = None, di
         edges = edges.withColumn("w", F.lit(default_weight))
     if edges.filter("w < 0 or w is null").limit(1).count():
         raise ValueError("weights must not be negative or missing")
-    g = Graph(graph.vertices, edges.select("src", "dst", F.col("w").cast("long").alias("w")))
-    g = (g if directed else g.symmetrize()).collapse("w")
-    start = _sources(graph, source).distinct().withColumn("dist", F.lit(0).cast("long"))
-    state = graph.vertices.select("id").join(start, "id", "left")
-    program = VertexProgram(
-        gather=lambda src, edge, dst: src.dist + edge.w,
-        reduce="min",
-        apply=lambda v, acc, i: ({"dist": F.least(v.dist, acc)}, acc.isNotNull() & (v.dist.isNull() | (acc < v.dist))),
-        idempotent=True,
-    )
-    engine = Engine(g, program, state)
-    engine.set_active(state.select("id"))
-    return _finish(engine, engine.run(max_iter).select("id", F.coalesce("dist", F.lit(UNREACHED_DISTANCE)).alias("dist")))
+    g = Graph(graph.vertices, edges)
+    start = _sources(graph, source).distinct()
+    return Blocks(g if directed else g.symmetrize(), "w").run(_Distances(), lambda state: np.where(state[0] < NO_PATH, state[0], UNREACHED_DISTANCE), "id long, dist long", max_iter=max_iter, start=start)
 
 
 def min_labels(graph: Graph, max_iter: int = 10_000) -> DataFrame:

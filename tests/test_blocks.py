@@ -9,6 +9,7 @@ from lattica.graph import Graph
 CASES = {
     "delta": lambda g: alg.pagerank_delta(g, 1e-2),
     "frontier": lambda g: alg.pagerank(g),
+    "distances": lambda g: alg.sssp(g, 0),
 }
 
 
@@ -89,3 +90,13 @@ def test_ids_that_are_no_vertices_and_wide_ids(spark, monkeypatch):
 def test_ranks_over_several_blocks(many):
     n, edges, g = many
     assert ranks(alg.pagerank(g)) == pytest.approx(oracle.pagerank(n, edges)[0], abs=1e-9)
+
+
+
+def test_distances_over_several_blocks(many, spark):
+    n, edges, g = many
+    got = lambda df: [r.dist for r in df.orderBy("id").collect()]
+    assert got(alg.sssp(g, 3)) == oracle.sssp(n, edges, 3)
+    both = [min(x) for x in zip(oracle.sssp(n, edges, 3), oracle.sssp(n, edges, 70), strict=True)]
+    assert got(alg.sssp(g, spark.createDataFrame([(3,), (70,), (70,), (1000,)], "id long"))) == both
+    assert got(alg.sssp(g, spark.range(0))) == [alg.UNREACHED_DISTANCE] * n
