@@ -10,6 +10,7 @@ CASES = {
     "delta": lambda g: alg.pagerank_delta(g, 1e-2),
     "frontier": lambda g: alg.pagerank(g),
     "distances": lambda g: alg.sssp(g, 0),
+    "tol": lambda g: alg.pagerank(g, tol=0.05, strict=True),
 }
 
 
