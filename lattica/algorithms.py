@@ -149,17 +149,7 @@ def pagerank(graph: Graph, tol: float = TOLERANCE, strict: bool = False, max_ite
 
 def pagerank_fixed(graph: Graph, iterations: int) -> DataFrame:
     """(id, rank) after so many rounds in which every vertex is active."""
-    g, degree = _rank_parts(graph)
-    edges = g.edges.repartition("src").persist()
-    state = degree.select("id", F.lit(PAGE_CONST).alias("rank"), "outdeg")
-    for i in range(iterations):
-        acc = edges.join(state, edges["src"] == state["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("outdeg") * F.col("multiplicity")).alias("_acc"))
-        state = degree.join(acc, "id", "left").select("id", (PAGE_CONST + (1 - PAGE_CONST) * F.coalesce("_acc", F.lit(0.0))).alias("rank"), "outdeg")
-        if (i + 1) % 5 == 0:
-            state = settled(state, "ranks")
-    out = settled(state.select("id", "rank"), "result")
-    edges.unpersist()
-    return out
+    return Blocks(graph).run(_Ranks(), lambda state: state[0], "id long, rank double", steps=iterations)
 
 
 class _Pushed(Rule):

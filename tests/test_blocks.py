@@ -11,6 +11,7 @@ CASES = {
     "frontier": lambda g: alg.pagerank(g),
     "distances": lambda g: alg.sssp(g, 0),
     "tol": lambda g: alg.pagerank(g, tol=0.05, strict=True),
+    "histogram": lambda g: alg.pagerank_fixed(g, 4),
 }
 
 
@@ -93,6 +94,17 @@ def test_ranks_over_several_blocks(many):
     assert ranks(alg.pagerank(g)) == pytest.approx(oracle.pagerank(n, edges)[0], abs=1e-9)
 
 
+def test_fixed_rounds_over_several_blocks(many):
+    n, edges, g = many
+    degree, x = [max(1, sum(s == v for s, *_ in edges)) for v in range(n)], [0.15] * n
+    for _ in range(5):
+        new = [0.15] * n
+        for s, d, *_ in edges:
+            new[d] += 0.85 * x[s] / degree[s]
+        x = new
+    assert ranks(alg.pagerank_fixed(g, 5)) == pytest.approx(x, abs=1e-9)
+    assert ranks(alg.pagerank_fixed(g, 0)) == [0.15] * n
+
 
 def test_distances_over_several_blocks(many, spark):
     n, edges, g = many
