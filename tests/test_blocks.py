@@ -12,6 +12,7 @@ CASES = {
     "distances": lambda g: alg.sssp(g, 0),
     "tol": lambda g: alg.pagerank(g, tol=0.05, strict=True),
     "histogram": lambda g: alg.pagerank_fixed(g, 4),
+    "fixed": lambda g: alg.pagerank_fixed(g, 10),
 }
 
 
