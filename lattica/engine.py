@@ -52,7 +52,7 @@ class VertexProgram:
 class Engine:
     """The loop: gather and apply on active vertices, then activate the out-neighbours of changed ones.
 
-    Edges are dealt by src once and kept; a step joins them with the state without moving them. Each step's state is written to
+    Edges are dealt by src once, sorted and kept; a step joins them with the state without moving or sorting them. Each step's state is written to
     the shared folder, once a step, and read back: its lineage ends there, so plans stay small and a lost executor costs no earlier
     step; the state before is deleted. A frontier below ``sparse`` of the vertices filters the edges by a broadcast of its ids if they
     are no more than ``BROADCAST_IDS``. Else all edges are read, and one aggregation tells what a vertex gathers and whether it is active.
@@ -69,12 +69,18 @@ class Engine:
     def __post_init__(self) -> None:
         n = self.partitions or int(self.graph.spark.conf.get("spark.sql.shuffle.partitions"))
         self.columns = [c for c in self.state.columns if c != "id"]
-        self.edges = self.graph.edges.repartition(n, "src").persist()
+        self._n = n
+        self.edges = self._dealt(self.graph.edges)
         self._all = self.state.count()
         self._spare: list[DataFrame] = []
-        self._n = n
         self._hold(self.state.withColumns({"_active": F.lit(False), "_changed": F.lit(False)}))
 
+    def _dealt(self, edges: DataFrame) -> DataFrame:
+        """Edges by src in the order of src: joins with the state neither move nor sort them again."""
+        kept = edges.repartition(self._n, "src").sortWithinPartitions("src").persist()
+        kept.count()  # how they lie is known to later plans once they are made
+        return kept
+
     def _hold(self, state: DataFrame) -> None:
         """Keep the new state and count what is active and changed in it."""
         before, self.state = self.state, settled(state, "state")
@@ -98,6 +104,11 @@ class Engine:
         flag = [F.col("_changed").alias("_sc")] if prefix == "s_" else []
         return rows.select(F.col("id").alias(key), *flag, *(F.col(c).alias(f"{prefix}{c}") for c in self.columns))
 
+    def _changed_ids(self) -> DataFrame:
+        """(src) of the changed vertices, broadcast if they are few."""
+        ids = self.state.filter("_changed").select(F.col("id").alias("src"))
+        return F.broadcast(ids) if self.n_changed <= BROADCAST_IDS else ids
+
     def gathered(self, changed_only: bool = False) -> DataFrame:
         """(id, acc) of the vertices that have something to gather."""
         e = self.edges
@@ -109,7 +120,8 @@ class Engine:
         """(id, _acc) of what edges ``e`` bring, of sources ``where``; ``more`` aggregates see the source's flag as _sc."""
         p = self.program
         e = e.select("src", "dst", *(F.col(c).alias(f"e_{c}") for c in e.columns if c not in ("src", "dst")))
-        e = e.join(self._role("s_", "src", where), "src")
+        source = self._role("s_", "src", where)
+        e = e.join(F.broadcast(source) if where == "_changed" and self.n_changed <= BROADCAST_IDS else source, "src")
         if p.uses_dst:
             e = e.join(self._role("d_", "dst"), "dst")
         value = p.gather(Fields("s_"), Fields("e_"), Fields("d_"))
@@ -120,13 +132,13 @@ class Engine:
         """(id[, _acc]) of the vertices that a changed one leads to: the next frontier."""
         few = self.n_changed < self.sparse * self._all
         if few or self.program.gather is None:
-            hit = self.edges.join(self.state.filter("_changed").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            hit = self.edges.join(self._changed_ids(), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
             if self.program.gather is None:
                 return hit
             self._spare.append(settled(hit, "frontier"))
             hit = self._spare[-1]
             if hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-                return self._reduced(self.edges.join(F.broadcast(hit.select(F.col("id").alias("dst"))), "dst", "left_semi"))
+                return F.broadcast(self._reduced(self.edges.join(F.broadcast(hit.select(F.col("id").alias("dst"))), "dst", "left_semi")))
         return self._reduced(self.edges, None, F.bool_or("_sc").alias("_hit")).filter("_hit").drop("_hit")
 
     def _applied(self, state: DataFrame, acc: Column | None) -> DataFrame:
@@ -154,10 +166,10 @@ class Engine:
             new = p.scatter(Fields("s_"), Fields("e_"), Fields("d_"))
             on = F.coalesce("_ch", F.lit(False))
             e = e.select("src", "dst", *((F.when(on, new[c]).otherwise(F.col(f"e_{c}")) if c in new else F.col(f"e_{c}")).alias(c) for c in own))
-            old, self.edges = self.edges, settled(e, "edges").repartition(self._n, "src").persist()
+            old, self.edges = self.edges, self._dealt(settled(e, "edges"))
             old.unpersist()
         if self.n_changed:
-            hit = self.edges.join(self.state.filter("_changed").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            hit = self.edges.join(self._changed_ids(), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
             self._next = self.state.drop("_active").join(hit.withColumn("_hit", F.lit(True)), "id", "left").withColumn("_active", F.coalesce("_hit", F.lit(False))).drop("_hit")
         else:
             self._next = self.state.withColumn("_active", F.lit(False))
